@@ -69,21 +69,26 @@ _ADDRESS = ("server.address", "net.peer.name", "http.host")
 _URLS = ("url.full", "http.url")
 
 
+_PEER_KEYS = ("peer.service", *_DB_SYSTEM, *_DB_NAME, *_DESTINATION, "messaging.system", "rpc.service", *_ADDRESS, *_URLS)
+
+
 def peer(attributes: str = "attributes", resource: str = "resource") -> Column:
     """What a client or producer span talks to, by the semantic conventions."""
-    def text(key: str) -> Column:
-        return text_or_number(attribute(key, attributes, resource))
+    raw = F.transform(F.array(*[F.lit(k) for k in _PEER_KEYS]), lambda k: F.coalesce(
+        F.try_element_at(F.col(attributes), k), F.try_element_at(F.col(resource), k)))
 
-    def first(keys) -> Column:
-        return F.coalesce(*[text(k) for k in keys])
+    def choose(texts: Column) -> Column:
+        def first(keys) -> Column:
+            return F.coalesce(*[F.get(texts, F.lit(_PEER_KEYS.index(k))) for k in keys])
 
-    # concat_ws drops a missing database name and, for a missing system,
-    # would leave the name alone: guard on the system.
-    database = F.when(first(_DB_SYSTEM).isNotNull(), F.concat_ws(":", first(_DB_SYSTEM), first(_DB_NAME)))
-    return F.coalesce(
-        text("peer.service"), database, first(_DESTINATION), text("messaging.system"),
-        text("rpc.service"), first(_ADDRESS), *[host_of(text(k)) for k in _URLS],
-    )
+        # concat_ws drops a missing database name.
+        database = F.when(first(_DB_SYSTEM).isNotNull(), F.concat_ws(":", first(_DB_SYSTEM), first(_DB_NAME)))
+        return F.coalesce(
+            first(["peer.service"]), database, first([*_DESTINATION, "messaging.system", "rpc.service", *_ADDRESS]),
+            *[host_of(first([k])) for k in _URLS])
+
+    # A one-element array stands in for a local variable, so each key is read once.
+    return F.get(F.transform(F.array(F.transform(raw, text_or_number)), choose), F.lit(0))
 
 
 # ------------------------------------------------------------- code places

@@ -26,7 +26,8 @@ def is_string(value: Column) -> Column:
 
 def string_value(text: Column) -> Column:
     """A string column as JSON text."""
-    return F.to_json(text.cast("variant"))
+    return F.when(~text.rlike(r'["\\\\\x00-\x1f\x7f-\uffff]'), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.to_json(text.cast("variant")))
 
 
 def plain(value: Column) -> Column:

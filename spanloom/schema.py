@@ -46,8 +46,6 @@ ARRIVAL_SCHEMA = T.StructType(SPAN_SCHEMA.fields + [
     T.StructField("mode", T.StringType()),
 ])
 
-EMPTY_ATTRS = F.lit(None).cast(ATTRS)
-
 
 def empty_map() -> Column:
     return F.expr("cast(map() as map<string,string>)")
