@@ -223,7 +223,7 @@ def step_results(judged: DataFrame, hits: DataFrame, flows: Sequence[Flow], boun
     kept = hits.join(pairs, ["flow", "trace_id"], "left_semi")
     rows = assign_steps(kept, flows, bound).withColumn("s", _step_facts(flows))
     c = F.col("choice")
-    duration = F.greatest(c["end_ns"] - c["start_ns"], F.lit(0)).cast("double") / F.lit(1e6)
+    duration = F.when(c.isNotNull(), F.greatest(c["end_ns"] - c["start_ns"], F.lit(0)).cast("double") / F.lit(1e6))
     miscounted = F.coalesce(F.col("matches") < F.col("s.at_least"), F.lit(False)) | F.coalesce(
         F.col("matches") > F.col("s.at_most"), F.lit(False))
     status = (
