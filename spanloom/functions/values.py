@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def plain_text(value: Any) -> str:
     return value if isinstance(value, str) else json_text(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: keeps deep expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_string(value: Column) -> Column:
     return value.startswith('"')
 

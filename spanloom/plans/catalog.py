@@ -1,4 +1,4 @@
 """Everything registered, by importing the query modules."""
 
-from spanloom.plans import flow_queries, privacy_queries, sequence_queries, trace_queries  # noqa: F401
+from spanloom.plans import flow_queries, ingest_queries, privacy_queries, sequence_queries, trace_queries  # noqa: F401
 from spanloom.plans.registry import ORACLES, QUERIES  # noqa: F401
