@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import attribute, plain, text_or_number
+from spanloom.functions.values import attribute, let, plain, text_or_number
 
 #: Kinds by their OTLP number (0 and 1 are internal).
 KIND_BY_NUMBER = {2: "server", 3: "client", 4: "producer", 5: "consumer"}
@@ -99,22 +99,23 @@ CODE_TYPE = "struct<file:string,line:bigint,function:string>"
 def parse_code(text: Column) -> Column:
     """``path/file.ext[:line][:function]`` as a struct; null when the path has
     no extension. A trailing ``(note)`` is dropped, a drive letter kept."""
-    trimmed = F.trim(F.substring_index(F.trim(text), " (", 1))
-    drive = F.regexp_extract(trimmed, r"\A([A-Za-z]:)(?=.)", 1)
-    parts = F.split(F.substring(trimmed, F.length(drive) + 1, F.lit(1 << 30)), ":")
-    path = F.concat(drive, F.get(parts, F.lit(0)))
-    name = F.regexp_extract(path, r"(?s)([^/\\]*)\z", 1)
-    rest = F.filter(F.transform(F.slice(parts, 2, 1 << 20), F.trim), lambda p: p != "")
-    numbers = F.filter(rest, lambda p: p.rlike(r"\A\+?[0-9]+\z") & (p.try_cast("long") <= 4294967295))
-    line = F.get(numbers, F.lit(0))
-    # The first number is the line; of everything else the last is the function.
-    position = F.array_position(rest, line)
-    others = F.filter(rest, lambda p, i: line.isNull() | (i + 1 != position))
-    return F.when(
-        name.contains(".") & ~name.endswith("."),
-        F.struct(path.alias("file"), line.cast("long").alias("line"),
-                 F.get(others, F.size(others) - 1).alias("function")),
-    ).cast(CODE_TYPE)
+    def located(path: Column, parts: Column) -> Column:
+        name = F.regexp_extract(path, r"(?s)([^/\\]*)\z", 1)
+        rest = F.filter(F.transform(F.slice(parts, 2, 1 << 20), F.trim), lambda p: p != "")
+        numbers = lambda r: F.filter(r, lambda p: p.rlike(r"\A\+?[0-9]+\z") & (p.try_cast("long") <= 4294967295))
+        # The first number is the line; of everything else the last is the function.
+        others = lambda r, line: F.filter(r, lambda p, i: line.isNull() | (i + 1 != F.array_position(r, line)))
+        found = let(rest, lambda r: let(F.get(numbers(r), F.lit(0)), lambda line: F.struct(
+            path.alias("file"), line.cast("long").alias("line"),
+            F.element_at(F.concat(F.array(F.lit(None).cast("string")), others(r, line)), -1).alias("function"))))
+        return let(name, lambda n: F.when(n.contains(".") & ~n.endswith("."), found))
+
+    def split(trimmed: Column) -> Column:
+        drive = F.regexp_extract(trimmed, r"\A([A-Za-z]:)(?=.)", 1)
+        return let(drive, lambda d: let(F.split(F.substring(trimmed, F.length(d) + 1, F.lit(1 << 30)), ":"), lambda parts: let(
+            F.concat(d, F.get(parts, F.lit(0))), lambda path: located(path, parts))))
+
+    return let(F.trim(F.substring_index(F.trim(text), " (", 1)), split).cast(CODE_TYPE)
 
 
 def code_from_attributes() -> Column:
@@ -126,7 +127,7 @@ def code_from_attributes() -> Column:
     line = first("code.line.number", "code.lineno")
     return F.when(file.isNotNull(), F.struct(
         file.alias("file"),
-        F.when(line.rlike(r"\A\+?[0-9]+\z") & (line.try_cast("long") <= 4294967295), line.try_cast("long")).alias("line"),
+        let(line, lambda t: F.when(t.rlike(r"\A\+?[0-9]+\z") & (t.try_cast("long") <= 4294967295), t.try_cast("long"))).alias("line"),
         first("code.function.name", "code.function").alias("function"),
     )).cast(CODE_TYPE)
 
@@ -144,5 +145,3 @@ def visible_attributes(attributes: Column) -> Column:
 
     return F.map_filter(attributes, lambda k, _: shown(k))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

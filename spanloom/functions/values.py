@@ -47,10 +47,7 @@ def plain(value: Column) -> Column:
 
 def text_or_number(value: Column) -> Column:
     """A non-empty string or a number as text, else null."""
-    return (
-        F.when(value.startswith('"') & (value != '""'), plain(value))
-        .when(value.rlike(r"^-?[0-9]"), value)
-    )
+    return let(value, lambda v: F.when(v.startswith('"') & (v != '""'), plain(v)).when(v.rlike(r"^-?[0-9]"), v))
 
 
 def attribute(key: str, attributes: str = "attributes", resource: str = "resource") -> Column:
