@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import quality
+from spanloom.llm import decontam, pii, quality, simhash, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality.judge(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "quality", "kept")
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda no: F.size(F.filter("spans", lambda s: s["kind"] == no)).cast("long")
+    return found.select(
+        "doc_id", *[count(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)], F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
+        pii.listed(F.concat("spans", "added")).alias("spans"))
