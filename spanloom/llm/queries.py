@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, pii, quality, simhash, url_rules
+from spanloom.llm import decontam, line_dedup, packing, pii, quality, repair, simhash, toxicity, url_rules
+from spanloom.llm.frames import stored
+from spanloom.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +54,29 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)], F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
         pii.listed(F.concat("spans", "added")).alias("spans"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = stored(packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0), "pieces")
+    digests = cut.select("doc_id", "piece", "start", F.col("length"), F.crc32("ids").alias("ids_crc32"))
+    return packing.place(digests).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    repair.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return repair.digests(repair.read(spark, path))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
