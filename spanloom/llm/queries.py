@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, line_dedup, packing, pii, quality, repair, simhash, toxicity, url_rules
+from spanloom.llm import decontam, line_dedup, packing, pii, quality, repair, simhash, suffix_tree, toxicity, url_rules
 from spanloom.llm.frames import stored
 from spanloom.session import shared_folder
 
@@ -80,3 +80,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
