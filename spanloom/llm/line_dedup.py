@@ -51,8 +51,9 @@ def runs(h: np.ndarray, w: np.ndarray, min_words: int) -> tuple[np.ndarray, np.n
     fits = (ends <= n) & (w > 0)
     ends = np.where(fits, ends, 0)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate(([1], np.full(n, _FACTOR, np.uint64))).astype(np.uint64), dtype=np.uint64)
-        back = np.cumprod(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64), dtype=np.uint64)
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate((one, np.full(n, _FACTOR, np.uint64))), dtype=np.uint64)
+        back = np.cumprod(np.concatenate((one, np.full(n, _INVERSE, np.uint64))), dtype=np.uint64)
         summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)))
         value = (summed[ends] - summed[:n]) * back[:n] + (ends - np.arange(n)).astype(np.uint64)
         value ^= value >> np.uint64(31)
@@ -151,15 +152,16 @@ def document_key(id: Column, text: Column) -> Column:
     return F.xxhash64(id, F.lit("|"), text)
 
 
-def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with shortened texts and the added columns ``removed_lines`` and ``lines`` (before).
+def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: bool = True, length: str | None = None) -> DataFrame:
+    """``df`` with shortened texts and, with ``counts``, the columns ``lines`` (before) and ``removed_lines``.
 
     Documents are in the order of their ids, null last, equal ids in the
     order of a hash. Rows of equal id and text are one document and stay
     alike. A null text stays null with 0 lines; an empty text is one empty
     line. A document all of whose lines are aligned keeps an empty text.
-    Columns ``removed_lines`` and ``lines`` of the input are replaced; an
-    empty table gives an empty result.
+    The counts replace columns of their names. ``length`` names a column with
+    the length of the text, set anew where the text was shortened. An empty
+    table gives an empty result.
     """
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     renamed = df.select(*[col_of(df, c).alias(n) for c, n in names.items()])
@@ -170,5 +172,9 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_words
     removed = F.when(F.col("ranges").isNull(), 0).otherwise(F.size(F.split(t, "\n", -1)) - F.size(kept))
     short = F.when(F.col("ranges").isNull(), F.col(names[text])).otherwise(F.array_join(kept, "\n"))
     lines = F.when(F.col(names[text]).isNull(), 0).otherwise(F.size(F.split(t, "\n", -1)))
-    return joined.select(*[(short if c == text else F.col(n)).alias(c) for c, n in names.items() if c.lower() not in ("removed_lines", "lines")],
-                         lines.cast("long").alias("lines"), removed.cast("long").alias("removed_lines"))
+    joined = joined.withColumn("_short", short)
+    renewed = {text: F.col("_short")}
+    if length is not None:
+        renewed[length] = F.when(F.col("ranges").isNull(), F.col(names[length])).otherwise(F.length("_short").cast(df.schema[length].dataType))
+    added = [lines.cast("long").alias("lines"), removed.cast("long").alias("removed_lines")] if counts else []
+    return joined.select(*[renewed.get(c, F.col(n)).alias(c) for c, n in names.items() if not counts or c.lower() not in ("removed_lines", "lines")], *added)
