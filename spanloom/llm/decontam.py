@@ -82,7 +82,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str =
     hits = stored(hits, "seed_hits")
     same_doc = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_text"))
     lined = hits.withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_text"}).join(t, "item_key")
-    found = d.withColumn("text_key", F.xxhash64("text")).join(lined, same_doc).withColumn("dh", word_hashes(F.col("text")))
+    found = d.withColumn("text_key", F.xxhash64("text")).join(lined, same_doc).select("doc_id", "item_id", "shift", "ih", word_hashes(F.col("text")).alias("dh"))
+    # Stored, so that the words are cut once per row and not once per compared position.
+    found = stored(found, "seed_diagonals")
     start = F.greatest(F.lit(0), -F.col("shift"))
     stop = F.least(F.size("ih"), F.size("dh") - F.col("shift"))
     found = found.select("doc_id", "item_id", "dh", "ih", "shift", start.alias("start"), stop.alias("stop")).filter(F.col("stop") - F.col("start") >= STRETCH)
