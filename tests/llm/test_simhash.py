@@ -1,0 +1,96 @@
+"""SimHash components against all pairs, and near copies of a text."""
+
+import random
+
+import cases
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from spanloom.llm import simhash
+from spanloom.llm.components import components
+from spanloom.llm.queries import QUERIES
+
+
+def fingerprint(text, size=4):
+    words = text.encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + size]), 42) for i in range(max(1, len(words) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def smallest_reachable(ids, prints, radius):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in ids}
+
+
+def test_query_equals_all_pairs(spark):
+    prints = {d: fingerprint(t) for d, t in cases.documents()}
+    want = smallest_reachable(sorted(prints), prints, 4)
+    found = cases.rows_of(QUERIES["op8_simhash_near_dedup"](spark, cases.SF))
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in found.items()} == {d: (f"{p:016x}", want[d]) for d, p in prints.items()}
+
+
+def test_crowded_blocks_are_cut_without_loss(spark):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    points = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "node bigint, fp bigint")
+    want = smallest_reachable(list(range(len(prints))), prints, 4)
+    edges = simhash.links(points, simhash.block_keys(F.col("fp"), 4), ["fp"], 4, chunk=16)
+    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert {i: found.get(i, i) for i in want} == want
+    assert edges.count() < 60_000
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    path = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 200)] + [(1005, 1000), (7000, 7000)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(path + star, "a bigint, b bigint")).collect()}
+    assert {found[i] for i in range(301)} == {0} and {found[1000 + i] for i in range(200)} == {1000} and 7000 not in found
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_pivots_never_discard_a_link():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 1 << 63, (60, 1), dtype=np.uint64)
+    prints = np.concatenate((prints, prints ^ (np.uint64(1) << rng.integers(0, 63, (60, 1), dtype=np.uint64))))
+    pivots = rng.integers(0, 1 << 63, (9, 1), dtype=np.uint64)
+    a, b = simhash.near_pairs(np.zeros(120, np.int64), prints, pivots, 3)
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 3}
+    assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_odd_rows(spark):
+    found = simhash.near_duplicates(cases.odd(spark)).collect()
+    assert len(found) == len(cases.odd_rows())
+    assert {r["component_id"] for r in found if r["fp"] == 0} == {0}
+    assert simhash.near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {i: rng.choices(words, k=400) for i in range(12)}
+    near = {100 + i: [*texts[i][:200], "changed", *texts[i][201:]] for i in range(6)}
+    exact = {200 + i: texts[i] for i in range(3, 9)}
+    half = {300 + i: texts[i][:200] + rng.choices(words, k=200) for i in range(4)}
+    rows = [(i, " ".join(t), 1) for i, t in {**texts, **near, **exact, **half}.items()] + [(5, " ".join(texts[5]), 1), (400, "", 1), (401, None, 1)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, node int"))
+    assert kept.columns == ["doc_id", "text", "node"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*texts, *half, 400])
+    odd = simhash.one_of_each(cases.odd(spark))
+    assert odd.columns == cases.odd(spark).columns and 0 < odd.count() < len(cases.odd_rows())
+    assert simhash.one_of_each(cases.empty(spark)).count() == 0
