@@ -105,7 +105,8 @@ def pieces(df: DataFrame, id: str, text: str, tokenizer: str, end_id: int, capac
             out.append([ids[a:b].tobytes() for a, b in zip([0, *range(head, len(ids), capacity)], range(head, len(ids) + 1, capacity))])
         return pd.Series(out)
 
-    own = df.select(col_of(df, id).alias("doc_id"), F.pandas_udf(cut, "array<binary>")(col_of(df, text)).alias("cuts"))
+    # Marked as not deterministic so that no plan encodes a text twice.
+    own = df.select(col_of(df, id).alias("doc_id"), F.pandas_udf(cut, "array<binary>").asNondeterministic()(col_of(df, text)).alias("cuts"))
     rows = own.select("doc_id", F.posexplode("cuts").alias("piece", "ids"), F.length(F.get("cuts", F.lit(0))).alias("head"))
     length = (F.length("ids") / 4).cast("int")
     start = F.when(F.col("piece") == 0, 0).otherwise(F.col("head") / 4 + (F.col("piece") - 1) * F.lit(capacity).cast("long"))
