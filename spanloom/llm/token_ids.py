@@ -4,19 +4,33 @@ Byte-pair merges never cross the pieces a pre-tokenizer makes, so a text's ids
 are its pieces' ids in order, and a piece seen before needs no second encoding.
 Texts are cut at spaces and line ends only where that provably agrees with the
 pre-tokenizer of the file; every other text goes through the tokenizer whole.
+New pieces are cut further as the file's pre-tokenizer would, and the file's
+model merges each part.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain
 
 import numpy as np
+import regex
 import tokenizers
 
-#: Pieces kept at most, about 200 bytes each; then the memory starts anew.
-KEPT_PIECES = 1_000_000
+#: Pieces, and parts of pieces, that are kept at most, about 200 bytes each; then the memory starts anew.
+KEPT_PIECES = 300_000
+#: Latin letters in their composed forms, digits, marks and single blanks: no normalisation but lower case applies.
+_PLAIN = re.compile("[\n \x21-\x7e¡-¬®-ÿ]*")
+#: Pre-tokenizer patterns of the two kinds of files; fixed values of the formats.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _visible() -> dict[int, int]:
+    """The character that stands for each byte in byte-level files: itself if printable, else the next from 256 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return {b: b if b in kept else next(other) for b in range(256)}
 
 
 class _Numbers(dict):
@@ -32,10 +46,6 @@ class _Numbers(dict):
         return n
 
 
-#: Latin letters in their composed forms, digits, marks and single blanks: no normalisation but lower case applies.
-_PLAIN = re.compile("[\n \x21-\x7e¡-¬®-ÿ]*")
-
-
 class Encoder:
     """Encodes texts with the tokenizer of a file, without special tokens added."""
 
@@ -43,10 +53,14 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec["added_tokens"]]
-        #: Byte-level files keep the space before a word with it; files with word ends drop it.
-        self.byte_level = spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["normalizer"] is None
-        self.word_ends = spec["model"].get("end_of_word_suffix") == "</w>"
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        #: Byte-level files keep the space before a word with it; files with word ends are in lower case and drop it.
+        self.byte_level = len(steps) == 1 and steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and spec["normalizer"] is None
+        self.word_ends = spec["model"].get("end_of_word_suffix") == "</w>" and steps[0].get("pattern") == {"Regex": _WORDS.pattern}
+        self.visible = _visible()
+        self.parts: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -54,22 +68,36 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _ids(self, piece: str) -> list[int]:
+        ids: list[int] = []
+        for part in _BYTES.findall(piece) if self.byte_level else _WORDS.findall(piece.lower()):
+            own = self.parts.get(part)
+            if own is None:
+                if len(self.parts) >= KEPT_PIECES:
+                    self.parts.clear()
+                own = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.visible))]
+            ids += own
+        return ids
+
     def _learn(self) -> None:
         """Encode the new pieces and keep their ids."""
         new = self.known.new
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.known) - len(new), int(sizes.sum())
+        ids, sizes = [], np.empty(len(new), np.int64)
+        for i, piece in enumerate(new):
+            before = len(ids)
+            ids += self._ids(piece)
+            sizes[i] = len(ids) - before
+        first = len(self.known) - len(new)
         while len(self.known) > len(self.begin):
             self.begin, self.size = np.concatenate((self.begin, self.begin)), np.concatenate((self.size, self.size))
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used:self.used + len(ids)] = ids
         self.size[first:len(self.known)] = sizes
         self.begin[first:len(self.known)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        self.used += len(ids)
         new.clear()
 
     def _pieces(self, text: str) -> list[str] | None:
