@@ -167,7 +167,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_words
     renamed = df.select(*[col_of(df, c).alias(n) for c, n in names.items()])
     gone = stored(deletions(renamed, names[id], names[text], min_words), "line_ranges")
     t = F.coalesce(F.col(names[text]), F.lit(""))
-    joined = renamed.withColumn("_key", document_key(F.col(names[id]), t)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = renamed.withColumn("_key", document_key(F.col(names[id]), t)).join(gone.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")
     kept = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.exists("ranges", lambda r: (i >= r["start"]) & (i < r["end"])))
     removed = F.when(F.col("ranges").isNull(), 0).otherwise(F.size(F.split(t, "\n", -1)) - F.size(kept))
     short = F.when(F.col("ranges").isNull(), F.col(names[text])).otherwise(F.array_join(kept, "\n"))
