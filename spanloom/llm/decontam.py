@@ -105,5 +105,5 @@ def clean_rows(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[col_of(docs, c).alias(n) for c, n in names.items()])
     bad = overlaps(renamed, tests, names[id], names[text]).select(F.col("doc_id").alias(found)).distinct()
-    kept = renamed.join(bad, F.col(names[id]).eqNullSafe(F.col(found)), "left_anti")
+    kept = renamed.join(bad.hint("merge"), F.col(names[id]).eqNullSafe(F.col(found)), "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

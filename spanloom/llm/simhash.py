@@ -232,4 +232,4 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     keys = [F.get("_p", F.lit(PARTS + i)) for i in range(BANDS)]
     edges = links(shown, keys, parts, radius_of(similarity))
     best = _named(points.select("node", "rank"), edges, "rank").select(F.col("rank.row").alias("_row")).distinct()
-    return table.join(best, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
+    return table.join(best.hint("merge"), "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
