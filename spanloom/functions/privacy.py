@@ -54,13 +54,14 @@ PATTERN = dict(PATTERNS)
 
 @dataclass
 class MaskingConfig:
-    """What may pass and what must not; ``enabled=False`` only cuts long texts."""
+    """What may pass and what must not; ``enabled=False`` lets all pass. Texts are
+    whole unless ``max_string_len`` is given."""
 
     enabled: bool = True
     allow_keys: list[str] = field(default_factory=list)
     deny_tokens: list[str] = field(default_factory=list)
     extra_patterns: dict[str, str] = field(default_factory=dict)
-    max_string_len: int = 200
+    max_string_len: int | None = None
 
 
 # ------------------------------------------------------------ names

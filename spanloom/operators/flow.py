@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.spans import is_error
 from spanloom.functions.values import attribute, glob, value_matches
-from spanloom.operators.store import MAX_SPANS_PER_TRACE
 from spanloom.plans.specs import Flow, Step
 from spanloom.session import cut
 
@@ -114,6 +113,10 @@ def candidates(spans: DataFrame, flows: Sequence[Flow], armed_ms: dict[str, int]
 
 # ------------------------------------------------------------- assignment
 
+#: Candidates of a (flow, trace) that are decided in one fold; more are decided step by step, with the same result.
+FOLD_BOUND = 10_000
+
+
 def _per_flow(flows: Sequence[Flow], value) -> Column:
     """A constant per flow name."""
     return F.try_element_at(F.create_map(*[x for f in flows for x in (F.lit(f.name), value(f))]), F.col("flow"))
@@ -162,7 +165,7 @@ def _assign_by_step(hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     state = hits.select("flow", "trace_id").distinct().withColumns({
         "used": F.expr("cast(array() as array<string>)"), "prev": F.lit(0).cast("long"),
         "res": F.expr(f"cast(array() as array<{_RESULT}>)")})
-    state = cut(state.withColumn("in_sequence", in_sequence).withColumn("n", _per_flow(flows, lambda f: F.lit(len(f.steps)))))
+    state = state.withColumn("in_sequence", in_sequence).withColumn("n", _per_flow(flows, lambda f: F.lit(len(f.steps))))
     choice = F.struct("start_ns", "has_parent", "span_id", "end_ns", "error", "attr_ok")
     for i in range(max(len(f.steps) for f in flows)):
         own = hits.filter(F.col("step") == i).join(state.select("flow", "trace_id", "used", "prev", "in_sequence"), ["flow", "trace_id"])
@@ -176,15 +179,15 @@ def _assign_by_step(hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
             "late", F.col("hit").isNull() & F.col("any").isNotNull()).withColumn("choice", F.coalesce("hit", "any"))
         result = F.struct(F.lit(i).alias("step"), F.col("choice").alias("choice"), F.col("late").alias("out_of_order"),
                           F.coalesce(F.col("m"), F.lit(0)).alias("matches")).cast(_RESULT)
-        state = cut(joined.select(
+        state = joined.select(
             "flow", "trace_id", "in_sequence", "n",
             F.when(F.col("choice").isNull(), F.col("used")).otherwise(F.concat("used", F.array("choice.span_id"))).alias("used"),
             F.when(F.col("choice").isNull() | F.col("late") | ~F.col("in_sequence"), F.col("prev")).otherwise(F.col("choice.start_ns")).alias("prev"),
-            F.when(F.lit(i) < F.col("n"), F.concat("res", F.array(result))).otherwise(F.col("res")).alias("res")))
+            F.when(F.lit(i) < F.col("n"), F.concat("res", F.array(result))).otherwise(F.col("res")).alias("res"))
     return state.select("flow", "trace_id", F.inline("res"))
 
 
-def assign_steps(hits: DataFrame, flows: Sequence[Flow], bound: int = MAX_SPANS_PER_TRACE) -> DataFrame:
+def assign_steps(hits: DataFrame, flows: Sequence[Flow], bound: int = FOLD_BOUND) -> DataFrame:
     """Which span each step takes, per (flow, trace): ``(flow, trace_id, step,
     choice, out_of_order, matches)``.
 
@@ -193,12 +196,9 @@ def assign_steps(hits: DataFrame, flows: Sequence[Flow], bound: int = MAX_SPANS_
     them the first whose attributes are right, else the first. Groups larger
     than ``bound`` candidates are decided step by step instead of in one fold.
     """
-    large = hits.groupBy("flow", "trace_id").count().filter(F.col("count") > bound).select("flow", "trace_id")
-    if large.isEmpty():
-        return _assign_by_fold(hits, flows)
-    large = cut(large)
-    return _assign_by_fold(hits.join(large, ["flow", "trace_id"], "left_anti"), flows).unionByName(
-        _assign_by_step(cut(hits.join(large, ["flow", "trace_id"], "left_semi")), flows))
+    sized = hits.join(hits.groupBy("flow", "trace_id").agg(F.count("*").alias("candidates")), ["flow", "trace_id"])
+    return _assign_by_fold(sized.filter(F.col("candidates") <= bound), flows).unionByName(
+        _assign_by_step(sized.filter(F.col("candidates") > bound), flows))
 
 
 # ---------------------------------------------------------------- verdicts
@@ -217,7 +217,7 @@ def _step_facts(flows: Sequence[Flow]) -> Column:
     return F.get(_per_flow(flows, lambda f: F.array(*[facts(s) for s in f.steps])), F.col("step"))
 
 
-def step_results(judged: DataFrame, hits: DataFrame, flows: Sequence[Flow], bound: int = MAX_SPANS_PER_TRACE) -> DataFrame:
+def step_results(judged: DataFrame, hits: DataFrame, flows: Sequence[Flow], bound: int = FOLD_BOUND) -> DataFrame:
     """One row per (flow, trace, step) of the judged pairs with its status."""
     pairs = judged.select("flow", "trace_id")
     kept = hits.join(pairs, ["flow", "trace_id"], "left_semi")
@@ -270,7 +270,7 @@ def best_verdicts(per_trace: DataFrame) -> DataFrame:
 
 
 def judge(spans: DataFrame, flows: Sequence[Flow], now_ms: int, armed_ms: dict[str, int] | None = None,
-          bound: int = MAX_SPANS_PER_TRACE) -> tuple[DataFrame, DataFrame]:
+          bound: int = FOLD_BOUND) -> tuple[DataFrame, DataFrame]:
     """Verdict rows and step rows of every (flow, trace) pair to consider."""
     judged = candidates(spans, flows, armed_ms)
     steps = step_results(judged, step_hits(spans, flows), flows, bound)
@@ -306,10 +306,10 @@ def _previous(df: DataFrame, value: Column, bucket_ms: int) -> DataFrame:
     Each flow's history is cut into time buckets, so a long one is ranked by
     many tasks; a bucket's first row looks up the last row of the bucket before.
     """
-    rows = df.withColumn("bucket", F.floor(F.col("at_ms") / bucket_ms)).withColumn("value", value)
-    last = rows.groupBy("flow", "bucket").agg(F.max_by("value", F.col("at_ms")).alias("last"))
+    rows = df.withColumn("bucket", F.expr(f"at_ms div {bucket_ms}")).withColumn("value", value)
+    last = rows.groupBy("flow", "bucket").agg(F.max_by("value", F.struct("at_ms", "value")).alias("last"))
     carried = last.select("flow", "bucket", F.lag("last").over(Window.partitionBy("flow").orderBy("bucket")).alias("carried"))
-    inside = F.lag("value").over(Window.partitionBy("flow", "bucket").orderBy("at_ms"))
+    inside = F.lag("value").over(Window.partitionBy("flow", "bucket").orderBy("at_ms", "value"))
     return (rows.withColumn("inside", inside).join(carried, ["flow", "bucket"])
             .withColumn("before", F.coalesce("inside", "carried")).drop("bucket", "inside", "carried"))
 

@@ -203,7 +203,7 @@ class SpanCatalog:
                                             attributes=list))
             if not entry.service.strip() or not entry.span.strip():
                 raise ValueError("every catalog entry needs a service and a span")
-            if entry.kind is not None and entry.kind not in KIND_BY_NAME:
+            if entry.kind is not None and entry.kind not in KINDS:
                 raise ValueError(f"invalid span catalog: unknown kind {entry.kind!r}")
             entries.append(entry)
         return cls(spans=entries, root=values.get("root"))

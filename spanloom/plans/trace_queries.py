@@ -95,14 +95,14 @@ def failed_traces_newest(spark: SparkSession, sf: str) -> DataFrame:
     return newest_first(_filtered(spark, sf, TraceFilter(errors_only=True, limit=300)))
 
 
-@query(f"""{_WITH} select trace_id, span_id, parent_id, service from spans s where parent_id is not null and not exists
-  (select 1 from spans p where p.trace_id = s.trace_id and p.span_id = s.parent_id)""")
+@query(f"""{_WITH.replace("spans as (", "spans as materialized (")} select s.trace_id, s.span_id, s.parent_id, s.service from spans s
+  left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_id where s.parent_id is not null and p.span_id is null""")
 def orphan_span_list(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_spans(spans(spark, sf).select("trace_id", "span_id", "parent_id", "service"))
 
 
-@query(f"""{_WITH} select trace_id, span_id, service from spans s where parent_id is null or not exists
-  (select 1 from spans p where p.trace_id = s.trace_id and p.span_id = s.parent_id)""")
+@query(f"""{_WITH.replace("spans as (", "spans as materialized (")} select s.trace_id, s.span_id, s.service from spans s
+  left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_id where p.span_id is null""")
 def root_span_list(spark: SparkSession, sf: str) -> DataFrame:
     return root_spans(spans(spark, sf).select("trace_id", "span_id", "parent_id", "service")).drop("parent_id")
 
@@ -153,7 +153,13 @@ def span_cap(spark: SparkSession, sf: str) -> DataFrame:
 @query(_FOLD + """select trace_id, updated_ms from updates order by updated_ms desc, trace_id desc limit 2000""")
 def trace_retention(spark: SparkSession, sf: str) -> DataFrame:
     log = arrival_log(spark, sf)
-    return store.retained(store.trace_updates(store.dedupe(log), store.last_changes(log)))
+    return store.retained(store.trace_updates(store.dedupe(log), store.last_changes(log)), 2000)
+
+
+@query(_FOLD + "select s.trace_id, s.span_id, u.updated_ms from stored s join updates u on u.trace_id = s.trace_id")
+def store_all_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Without limits the store keeps every span of every trace."""
+    return store.store(arrival_log(spark, sf)).select("trace_id", "span_id", "updated_ms")
 
 
 @query(_FOLD + """select count(distinct trace_id) as traces, count(*) as spans from stored""")

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SHORT = ["trace_summary", "trace_services_first_seen", "trace_filter_attr_same_span", "trace_list_top20", "span_dedupe_echo_rule", "span_last_change",
          "span_cap", "source_health", "span_peer", "sequence_messages", "sequence_participants", "span_depth", "flow_verdicts", "flow_best_trace",
-         "verdict_change_feed", "span_inventory", "pseudonym_numbers", "masked_trace_spans", "otlp_round_trip", "ingest_xray", "stream_equals_batch"]
+         "verdict_change_feed", "span_inventory", "pseudonym_numbers", "masked_trace_spans", "otlp_round_trip", "ingest_xray", "stream_equals_batch", "store_all_traces", "span_depth_large_traces", "diagram_events_all", "masked_trace_summaries", "ingest_otlp_proto",
+         "orphan_span_list", "root_span_list"]
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SHORT
 
