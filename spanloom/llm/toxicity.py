@@ -6,7 +6,8 @@ passages apart. Embeddings and softmax are trained together. A misspelt or
 inflected word that was never seen still shares n-grams with seen ones.
 
 A text is as toxic as its worst passage, so a few words don't drown in a long
-text: training starts on means of whole texts and goes on with the worst
+text; a word said again within a passage's length counts once, so that mild
+words don't add up by repetition: training starts on means of whole texts and goes on with the worst
 passage of each. The classifier is fitted on a bounded sample of labelled
 texts; all texts are scored whole.
 """
@@ -69,6 +70,14 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows)[order], np.bincount(owners, minlength=len(words))
 
 
+def repeated(words: np.ndarray) -> np.ndarray:
+    """Which words (as numbers) came already among the ``PASSAGE`` - 1 before."""
+    order = np.argsort(words, kind="stable")
+    again = np.zeros(len(words), bool)
+    again[order[1:]] = (words[order[1:]] == words[order[:-1]]) & (np.diff(order) < PASSAGE)
+    return again
+
+
 def _bucket(value: np.ndarray, kind: int) -> np.ndarray:
     mixed = (value ^ (value >> np.uint64(29))) * _M + np.uint64(kind)
     return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int32)
@@ -105,7 +114,11 @@ class Model:
                 counts.append(len(own))
                 size += len(texts[j] or "")
                 j += 1
+            numbers: dict[str, int] = {}
+            keys = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
             logits, at = self.word_logits(words), 0
+            # Each text has words of its own here: a repetition doesn't reach into the next text.
+            logits[repeated(keys + np.repeat(np.arange(len(counts)), counts) * (len(numbers) + 1))] = 0
             for k, n in enumerate(counts):
                 result[i + k] = worst(logits[at:at + n])
                 at += n
@@ -147,18 +160,21 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 11) -> Model:
     weight = np.where(labels == 1, 0.5 / max(1, labels[~held].sum()), 0.5 / max(1, (1 - labels[~held]).sum())) * ~held
     sizes = np.array([len(d) for d in docs])
     flat, starts = np.concatenate(docs), np.cumsum(sizes) - sizes
+    new = ~np.concatenate([repeated(d) for d in docs])
     owner = np.repeat(np.arange(len(docs)), sizes)
     inverse = (1.0 / counts).astype(np.float32)[:, None]
     for step in range(1, WARM_STEPS + STEPS + 1):
         vectors = _gather(emb, rows, first, counts) * inverse
         if step <= WARM_STEPS:
-            token, text_of, share = flat, owner, 1.0 / sizes[owner]
+            at, text_of, share = np.flatnonzero(new), owner[new], 1.0 / sizes[owner[new]]
         else:
-            logits = (vectors @ (soft[1] - soft[0]))[flat]
+            logits = (vectors @ (soft[1] - soft[0]))[flat] * new
             picks = [_worst_at(logits[a:a + n]) for a, n in zip(starts, sizes)]
-            token = np.concatenate([flat[a + s:a + e] for a, (s, e) in zip(starts, picks)])
+            at = np.concatenate([np.arange(a + s, a + e) for a, (s, e) in zip(starts, picks)])
+            at = at[new[at]]
             spans = np.array([e - s for s, e in picks])
-            text_of, share = np.repeat(np.arange(len(docs)), spans), np.repeat(1.0 / spans, spans)
+            text_of, share = owner[at], 1.0 / spans[owner[at]]
+        token = flat[at]
         share = share.astype(np.float32)
         bag = np.stack([np.bincount(text_of, share * vectors[token, d], minlength=len(docs)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
         z = bag @ soft.T + bias
@@ -186,7 +202,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 11) -> Model:
             else:
                 bias = bias - change
     raw = Model((emb @ (soft[1] - soft[0])).astype(np.float32) * np.isin(np.arange(BUCKETS), seen), 1.0, 0.0)
-    values = np.array([worst(raw.word_logits(split[i])) for i in np.flatnonzero(held)])
+    values = np.array([worst(raw.word_logits(split[i]) * ~repeated(docs[i])) for i in np.flatnonzero(held)])
     return Model(raw.weight, *_calibrated(values, labels[held]))
 
 
@@ -209,16 +225,18 @@ def _worst_at(logits: np.ndarray) -> tuple[int, int]:
 
 
 def _calibrated(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that put the score 0.7 where fewest held-out texts fall on the wrong side, in the middle of that stretch."""
+    """Slope and shift that put the score 0.7 where fewest held-out texts fall on the wrong side."""
     if len(set(labels.tolist())) < 2:
         return 1.0, 0.0
     order = np.argsort(values)
     v, y = values[order], labels[order]
-    # Clean texts are by far the more frequent: a wrongly accused one counts more.
-    wrong = np.concatenate(([0.0], np.cumsum(y))) + 3 * ((1 - y).sum() - np.concatenate(([0.0], np.cumsum(1 - y))))
+    # Clean texts are the more frequent: a wrongly accused one counts twice.
+    wrong = np.concatenate(([0.0], np.cumsum(y))) + 2 * ((1 - y).sum() - np.concatenate(([0.0], np.cumsum(1 - y))))
     best = np.flatnonzero(wrong == wrong.min())
     k = int(best[len(best) // 2])
-    cut = (v[max(k - 1, 0)] + v[min(k, len(v) - 1)]) / 2
+    # Forms never seen score lower than those learned: nearer to the clean side.
+    low, high = v[max(k - 1, 0)], v[min(k, len(v) - 1)]
+    cut = low + (high - low) / 3
     spread = max(1e-6, float(np.median(values[labels == 1]) - np.median(values[labels == 0])))
     slope = 8 / spread
     return slope, float(np.log(0.7 / 0.3) - slope * cut)

@@ -10,8 +10,13 @@ from spanloom.llm import toxicity
 from spanloom.llm.queries import QUERIES
 
 
+_RNG = random.Random(1)
+#: One language for all texts.
+WORDS = ["".join(_RNG.choices(["ba", "re", "ti", "lo", "mu", "sen"], k=_RNG.randint(1, 4))) for _ in range(800)]
+
+
 def texts(rng, n, toxic, slurs):
-    words = ["".join(rng.choices(["ba", "re", "ti", "lo", "mu", "sen"], k=rng.randint(1, 4))) for _ in range(800)]
+    words = WORDS
     out = []
     for _ in range(n):
         t = rng.choices(words, k=rng.randint(30, 300))
@@ -32,7 +37,7 @@ def test_unseen_forms_and_long_texts():
     clean = texts(rng, 100, False, slurs)
     assert (model.scores(clean) >= 0.7).mean() < 0.05
     long = " ".join(clean)
-    assert model.scores([long, long + " zgrumpfer you zgrumpf zgrumpfen", "", None]).round(1).tolist()[:2] == [0.0, 1.0]
+    assert (model.scores([long, long + " zgrumpfer you zgrumpf zgrumpfen", "", None]) >= 0.7).tolist() == [False, True, False, False]
 
 
 def test_subwords_belong_to_their_words():
