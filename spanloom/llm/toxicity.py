@@ -120,10 +120,11 @@ class Model:
             # Each text has words of its own here: a repetition doesn't reach into the next text.
             logits[repeated(keys + np.repeat(np.arange(len(counts)), counts) * (len(numbers) + 1))] = 0
             for k, n in enumerate(counts):
-                result[i + k] = worst(logits[at:at + n])
+                result[i + k] = worst(logits[at:at + n]) if n else np.nan
                 at += n
             i = j
-        return 1 / (1 + np.exp(-np.clip(self.slope * result + self.shift, -60, 60)))
+        scores = 1 / (1 + np.exp(-np.clip(self.slope * result + self.shift, -60, 60)))
+        return np.where(np.isnan(result), 0.0, scores)
 
 
 def worst(logits: np.ndarray) -> float:
@@ -261,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out`` and ``score`` of every row.
 
-    Null and empty texts get the score of a passage without words. Repeated
+    Null and empty texts, and those without words, have the score 0. Repeated
     rows and equal or null ids are scored row by row; other columns are not
     read. An empty table gives an empty result.
     """
