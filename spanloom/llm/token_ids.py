@@ -21,6 +21,8 @@ import tokenizers
 KEPT_PIECES = 300_000
 #: Latin letters in their composed forms, digits, marks and single blanks: no normalisation but lower case applies.
 _PLAIN = re.compile("[\n \x21-\x7e¡-¬®-ÿ]*")
+#: Marks the first word of a text, which has no space before it; no plain text has this character.
+_FIRST = "\r"
 #: Pre-tokenizer patterns of the two kinds of files; fixed values of the formats.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -68,14 +70,30 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _cut(self, piece: str) -> tuple[str, ...] | list[str]:
+        """The parts of a piece, as the file's pre-tokenizer cuts it; letters with a mark behind them, most pieces, need no pattern."""
+        lead = ""
+        if not self.byte_level:
+            piece = piece.lower()
+        elif piece[0] == _FIRST:
+            piece = piece[1:]
+        elif piece[0] != "\n":
+            lead = " "
+        if piece.isalpha():
+            return (lead + piece,)
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return lead + piece[:-1], piece[-1]
+        return _BYTES.findall(lead + piece) if self.byte_level else _WORDS.findall(piece)
+
     def _ids(self, piece: str) -> list[int]:
         ids: list[int] = []
-        for part in _BYTES.findall(piece) if self.byte_level else _WORDS.findall(piece.lower()):
+        for part in self._cut(piece):
             own = self.parts.get(part)
             if own is None:
                 if len(self.parts) >= KEPT_PIECES:
                     self.parts.clear()
-                own = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.visible))]
+                shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.visible)
+                own = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
             ids += own
         return ids
 
@@ -108,9 +126,10 @@ class Encoder:
             return text.split()
         if not self.byte_level or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
             return None
-        # A line end is a piece before its word; every other word has the space before it.
+        # A line end is a piece before its word; every other word but the first has a space before it.
         words = text.replace("\n", " \n").split(" ")
-        return words[:1] + [w if w[0] == "\n" else " " + w for w in words[1:]]
+        words[0] = _FIRST + words[0]
+        return words
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text as unsigned 32-bit numbers; none for null or empty."""
