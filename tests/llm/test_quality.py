@@ -44,7 +44,7 @@ def test_em_finds_accuracies():
     for _ in range(20_000):
         good = rng.random() < 0.8
         patterns[tuple((1 if good else 0) if rng.random() < a else (0 if good else 1) for a in (0.95, 0.8, 0.7))] += 1
-    model = quality.fit(dict(patterns), 3, weight=0.001)
+    model = quality.fit(dict(patterns), 3, rounds=1500, weight=0.0001)
     assert abs(model.prior - 0.8) < 0.05
     assert model.tables[0][1][1] > model.tables[1][1][1] > model.tables[2][1][1]
     assert quality.fit({}, 3).prior == 0.8
