@@ -15,11 +15,14 @@ Fingerprints are made distinct first, so exact copies cost one row. A block
 with many fingerprints is cut into chunks by a hash, and every pair of chunks
 is a cell of its own in some other task; cells return the edges of a spanning
 forest, never all their pairs. Nothing is dropped: all chunk pairs are cells.
+
+Searches by similarity (``one_of_each``) use the bits only to discard pairs
+and decide the rest by their shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -65,8 +68,10 @@ def fingerprints(shingle: int, words: int = 1, bands: int = 0, rows: int = 4) ->
 
     Part 0 is the majority over the hashes themselves, later parts over
     multiplied hashes. A band key combines ``rows`` minimal values of
-    multiplied hashes.
+    multiplied hashes. With bands, a hash counts once in a text, and a hash
+    of the set of hashes and its size come last.
     """
+    signed = lambda data, seed: int(np.int64(np.uint64(xxhash.xxh64_intdigest(data, seed))))
     rng = np.random.default_rng(SEED)
     odd = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     part_factors, band_factors = odd(words), odd(bands * rows)
@@ -75,14 +80,14 @@ def fingerprints(shingle: int, words: int = 1, bands: int = 0, rows: int = 4) ->
         out = []
         for text in texts:
             h = shingle_hashes(text, shingle)
+            h = np.unique(h) if bands else h
             values = [majority(h)]
             for f in part_factors[1:]:
                 m = h * f
                 values.append(majority(m ^ (m >> np.uint64(29))))
             if bands:
-                d = np.unique(h)
-                lows = np.array([(d * f).min() if len(d) else 0 for f in band_factors], np.uint64).reshape(bands, rows)
-                values += [int(np.int64(np.uint64(xxhash.xxh64_intdigest(low.tobytes(), i)))) for i, low in enumerate(lows)]
+                lows = np.array([(h * f).min() if len(h) else 0 for f in band_factors], np.uint64).reshape(bands, rows)
+                values += [signed(low.tobytes(), i) for i, low in enumerate(lows)] + [signed(h.tobytes(), SEED), len(h)]
             out.append(values)
         return pd.Series(out)
 
@@ -113,16 +118,33 @@ def links(points: DataFrame, keys: list[Column], parts: list[str], radius: int,
     """
     keyed = points.select("node", *parts, F.explode(F.array(*keys)).alias("key"))
     hot = stored(keyed.groupBy("key").count().filter(F.col("count") > chunk), "hot_blocks")
+    pivots = _pivots(len(parts))
+
+    def edges_of(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = near_pairs(rows[:, 0], rows[:, 2:].astype(np.uint64), pivots, radius)
+        label = forest(len(rows), a, b)
+        own = np.flatnonzero(label != np.arange(len(rows)))
+        return pa.record_batch({"a": rows[own, 1], "b": rows[label[own], 1]})
+
+    return _in_cells(keyed.join(hot, "key", "left"), ["node", *parts], chunk, edges_of)
+
+
+def _pivots(parts: int) -> np.ndarray:
+    return np.random.default_rng(SEED + 1).integers(0, 1 << 63, (PIVOTS, parts), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _in_cells(keyed: DataFrame, carried: list[str], chunk: int, edges_of: Callable[[np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """``edges_of`` rows (cell, ``carried``) of whole cells; ``keyed`` has ``key`` and the ``count`` of its block, null when small."""
     chunks = F.coalesce(F.ceil(F.col("count") / chunk).cast("int"), F.lit(1))
-    dealt = keyed.join(hot, "key", "left").withColumn("n", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = keyed.withColumn("n", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", *parts)
-    pivots = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (PIVOTS, len(parts)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), *carried)
+    width = 1 + len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 2 + len(parts)), np.int64)
+        held = np.empty((0, width), np.int64)
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + len(parts))])
+            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
             rows = np.concatenate((held, rows)) if len(held) else rows
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             held = rows[cut:]
@@ -131,12 +153,6 @@ def links(points: DataFrame, keys: list[Column], parts: list[str], radius: int,
         if len(held):
             yield edges_of(held)
 
-    def edges_of(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = near_pairs(rows[:, 0], rows[:, 2:].astype(np.uint64), pivots, radius)
-        label = forest(len(rows), a, b)
-        own = np.flatnonzero(label != np.arange(len(rows)))
-        return pa.record_batch({"a": rows[own, 1], "b": rows[label[own], 1]})
-
     return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -201,21 +217,71 @@ def _named(points: DataFrame, edges: DataFrame, first: str) -> DataFrame:
 
 #: For similarity searches: 256 bits, and 12 bands of 4 minimal hashes, so that a pair of similarity 0.8 shares a band in 99.8 of 100 cases.
 PARTS, BANDS, BAND_ROWS = 4, 12, 4
+#: Standard deviations by which the bits of a pair may exceed their mean. The bits only discard, so the bound is wide.
+SPREAD = 6
 
 
 def radius_of(similarity: float, bits: int = 64 * PARTS) -> int:
-    """Bits that differ between shingle sets of this Jaccard similarity, on average."""
-    shared = 2 * similarity / (1 + similarity)
-    return int(np.ceil(bits * np.arccos(shared) / np.pi))
+    """Bits in which shingle sets of this Jaccard similarity practically always differ at most."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + SPREAD * np.sqrt(bits * share * (1 - share))))
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sets, each given as its distinct 64-bit members; 1 for two empty ones."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared) if len(x) or len(y) else 1.0
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose ``sets`` (``node``, ``members``) are similar."""
+    alike = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)], dtype=bool), "boolean")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+    return both.filter(alike("ma", "mb")).select("a", "b")
+
+
+def _similar_edges(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], keys: list[Column], parts: list[str], similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``a``, ``b`` that connect what all similar pairs of points that share a key connect.
+
+    ``points`` has ``node``, ``size`` (members of its set) and ``parts``;
+    ``sets_of`` gives the sets of a table of nodes. First every point is
+    compared with the smallest of its block, so that a large group of copies
+    grows together by few comparisons; then all pairs that are still apart
+    are. Bits and sizes discard, the sets decide.
+    """
+    radius, pivots = radius_of(similarity), _pivots(len(parts))
+    point = F.struct("node", "size", *parts)
+    keyed = points.select("node", "size", *parts, F.explode(F.array(*keys)).alias("key"))
+    blocks = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(point).alias("least")).filter(F.col("count") > 1)
+    blocks = stored(keyed.join(blocks, "key"), "shared_blocks")
+    sets = stored(sets_of(blocks.select("node").distinct()), "shingle_sets")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"least.{p}"))) for p in parts), F.lit(0))
+    fit = F.least("size", "least.size") >= similarity * F.greatest("size", "least.size") - 1e-6
+    stars = blocks.filter((F.col("node") != F.col("least.node")) & (apart <= radius) & fit).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+    stars = stored(stars.distinct(), "star_pairs")
+    joined = stored(_similar(stars, sets, similarity), "star_edges")
+    roots = components(joined)
+    labelled = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def open_pairs(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = near_pairs(rows[:, 0], rows[:, 4:].astype(np.uint64), pivots, radius)
+        size, root = rows[:, 2], rows[:, 3]
+        keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+        x, y = rows[a[keep], 1], rows[b[keep], 1]
+        return pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    rest = _in_cells(labelled, ["node", "size", "root", *parts], chunk, open_pairs).distinct().join(stars, ["a", "b"], "left_anti")
+    return joined.union(_similar(stored(rest, "open_pairs"), sets, similarity))
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies: of every group linked by similar texts, the row of smallest id.
 
-    Texts link when 256-bit fingerprints over ``shingle`` words differ in no
-    more bits than texts of this Jaccard similarity do on average. Such a
-    radius is too wide for blocks of the fingerprint, so bands of minimal
-    shingle hashes propose pairs; the pivot table discards, and the bits
+    Texts link when their sets of ``shingle``-word shingles have at least
+    this Jaccard similarity. Bands of minimal shingle hashes propose pairs,
+    256-bit fingerprints discard those that are far apart, and the sets
     decide. All texts without words are one group. Null ids come last; of
     equal ids (repeated rows) one row stays.
     """
@@ -224,12 +290,18 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     parts = [f"_f{i}" for i in range(PARTS)]
     renamed = df.select(*[col_of(df, c).alias(n) for c, n in names.items()])
     table = stored(renamed.withColumn("_p", make(F.col(names[text]))).withColumn("_row", F.monotonically_increasing_id()), "signed_documents")
-    node = F.xxhash64(*[F.get("_p", F.lit(i)) for i in range(PARTS)])
+    node, size = F.get("_p", F.lit(PARTS + BANDS)), F.get("_p", F.lit(PARTS + BANDS + 1))
     rank = F.struct(F.col(names[id]).isNull().alias("none"), F.col(names[id]).alias("id"), F.col("_row").alias("row"))
     signed = table.select(node.alias("node"), "_p", rank.alias("rank"))
-    points = stored(signed.groupBy("node").agg(F.min("rank").alias("rank"), F.first("_p").alias("_p")), "distinct_fingerprints")
-    shown = points.select("node", "_p", *[F.get("_p", F.lit(i)).alias(f) for i, f in enumerate(parts)])
+    points = stored(signed.groupBy("node").agg(F.min("rank").alias("rank"), F.first("_p").alias("_p")), "distinct_texts")
+    shown = points.select("node", size.alias("size"), "_p", *[F.get("_p", F.lit(i)).alias(f) for i, f in enumerate(parts)])
     keys = [F.get("_p", F.lit(PARTS + i)) for i in range(BANDS)]
-    edges = links(shown, keys, parts, radius_of(similarity))
+    members = F.pandas_udf(lambda texts: pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]), "binary")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        rows = points.join(nodes, "node", "left_semi").select("node", F.col("rank.row").alias("_row"))
+        return table.select("_row", F.col(names[text]).alias("_t")).join(rows, "_row").select("node", members("_t").alias("members"))
+
+    edges = _similar_edges(shown, sets_of, keys, parts, similarity)
     best = _named(points.select("node", "rank"), edges, "rank").select(F.col("rank.row").alias("_row")).distinct()
     return table.join(best.hint("merge"), "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -94,3 +94,33 @@ def test_one_of_each_group_stays(spark):
     odd = simhash.one_of_each(cases.odd(spark))
     assert odd.columns == cases.odd(spark).columns and 0 < odd.count() < len(cases.odd_rows())
     assert simhash.one_of_each(cases.empty(spark)).count() == 0
+
+
+def test_similarity_decides_and_not_the_bits(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(50_000)]
+    shingles = lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    rows, gone, jaccards = [], set(), []
+    for i in range(80):
+        text = rng.choices(words, k=400)
+        other = list(text)
+        for at in rng.sample(range(5, 395, 6), 8 if i % 2 else 11):
+            other[at] = "changed"
+        a, b = shingles(text), shingles(other)
+        jaccards.append(len(a & b) / len(a | b))
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(other))]
+        gone |= {1000 + i} if jaccards[-1] >= 0.8 else set()
+    assert min(jaccards) > 0.7 and 20 < len(gone) < 60
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {d for d, _ in rows} - kept == gone
+
+
+def test_pairs_that_are_apart_from_the_smallest_of_their_block_link(spark):
+    rng = random.Random(3)
+    groups = [[rng.getrandbits(62) for _ in range(100)] for _ in range(3)]
+    sets = {10 * g + i: sorted({*members[:98], rng.getrandbits(62)}) for g, members in enumerate(groups) for i in range(4)}
+    points = spark.createDataFrame([(n, len(m), 0, 1) for n, m in sets.items()], "node bigint, size bigint, fp bigint, key bigint")
+    table = spark.createDataFrame([(n, np.array(m, np.uint64).tobytes()) for n, m in sets.items()], "node bigint, members binary")
+    edges = simhash._similar_edges(points, lambda nodes: table.join(nodes, "node", "left_semi"), [F.col("key")], ["fp"], 0.8, chunk=3)
+    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert found == {n: n // 10 * 10 for n in sets}
