@@ -1,7 +1,7 @@
 """URL filters from association rules.
 
-A URL is a set of tokens: the labels and label pairs of its host, its path
-segments, query keys, file ending. FP-growth finds token sets that are
+A URL is a set of tokens: the labels of its host, its path segments, query
+keys and query values. FP-growth finds token sets that are
 frequent among labelled URLs; a set becomes a rule when, of the labelled URLs
 that hold it, a large enough share has one verdict, clearly more than with
 any smaller set. Rules are matched through an inverted index: a rule is
@@ -15,6 +15,8 @@ URLs it covers; the mined rules decide the rest.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -64,31 +66,40 @@ def site_rule(host: Column, path: Column, rules: tuple[SiteRule, ...]) -> tuple[
     return name, verdict
 
 
-#: Tokens that a URL has at most: last host labels, first path segments, first query keys in order.
-LABELS, SEGMENTS, KEYS = 6, 5, 4
+#: Frequent items of a basket up to which FP-growth lists all their sets; with wider baskets, sets are counted by size.
+WIDEST = 16
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL.
-
-    Every number is the same token, so that tokens repeat. What lies deeper
-    in a path, or beyond the first query keys, is told by one token each:
-    frequent sets can double with every token of a basket.
-    """
+    """Distinct tokens of the whole URL. Every number is the same token, so that tokens repeat."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     segments = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "0"), "/"), lambda x: x != "")
-    query = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1), "=[^&]*", "")
-    keys = F.array_sort(F.array_distinct(F.filter(F.split(query, "&"), lambda x: x != "")))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(
-        F.transform(F.reverse(F.slice(F.reverse(labels), 1, LABELS)), lambda x: F.concat(F.lit("host:"), x)),
-        F.transform(F.slice(segments, 1, SEGMENTS), lambda x: F.concat(F.lit("path:"), x)),
-        F.when(F.size(segments) > SEGMENTS, F.array(F.lit("deeper path"))).otherwise(none),
-        F.transform(F.slice(keys, 1, KEYS), lambda x: F.concat(F.lit("key:"), x)),
-        F.when(F.size(keys) > KEYS, F.array(F.lit("more keys"))).otherwise(none)))
-
-
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT, longest: int = MAX_TOKENS) -> DataFrame:
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
+    keys = F.filter(F.split(F.regexp_replace(query, "=[^&]*", ""), "&"), lambda x: x != "")
+    values = F.filter(F.split(F.regexp_replace(query, "[0-9]+", "0"), "&"), lambda x: x.rlike("(?s)=."))
+    prefixed = lambda kind, parts: F.transform(parts, lambda x: F.concat(F.lit(kind), x))
+    return F.array_distinct(F.concat(prefixed("host:", labels), prefixed("path:", segments), prefixed("key:", keys), prefixed("value:", values)))
+
+
+def _counted(baskets: DataFrame, least: int, longest: int) -> DataFrame:
+    """What FP-growth finds, up to ``longest`` tokens: ``tokens``, ``verdict`` (null for any) and ``freq``, at least ``least``.
+
+    Sets grow by one token at a time, only frequent ones go on; so baskets
+    of many tokens cost a power of their width and not all their subsets.
+    """
+    now = baskets.groupBy("tokens", "verdict").agg(F.count("*").alias("w")).withColumn("set", F.array().cast("array<string>"))
+    found = []
+    for _ in range(longest):
+        later = F.filter("tokens", lambda x: F.coalesce(x > F.get("set", F.size("set") - 1), F.lit(True)))
+        grown = stored(now.withColumn("item", F.explode(later)).withColumn("set", F.array_append("set", F.col("item"))).drop("item"), "grown_sets")
+        own = grown.groupBy("set", "verdict").agg(F.sum("w").alias("freq"))
+        total = stored(own.groupBy("set").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= least), "frequent_totals")
+        found += [own.filter(F.col("freq") >= least), total.select("set", F.lit(None).cast("string").alias("verdict"), "freq")]
+        now = grown.join(total.select("set"), "set", "left_semi")
+    return reduce(DataFrame.union, found).select(F.array_sort("set").alias("tokens"), "verdict", "freq")
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT, longest: int = MAX_TOKENS, widest: int = WIDEST) -> DataFrame:
     """Rules ``tokens`` -> ``verdict`` with ``confidence`` and ``support`` (rows).
 
     ``labelled`` has ``tokens`` and ``verdict``. The verdict joins the tokens
@@ -97,18 +108,24 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     than the verdict is anyway by ``lift``, and more so than every set of one
     token less. Support is a share of all labelled rows (and ``MIN_ROWS``
     rows at least), so the number of frequent sets depends on that share and
-    not on the rows.
+    not on the rows. Tokens below it go before the mining. Where more than
+    ``widest`` stay in a basket, ``_counted`` finds the same sets.
     """
-    support = min(1.0, max(support, MIN_ROWS / max(1, labelled.count())))
-    item = F.concat(F.lit("is:"), F.col("verdict"))
-    baskets = labelled.select(F.array_append("tokens", item).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets).freqItemsets
-    verdicts = F.filter("items", lambda x: x.startswith("is:"))
-    sets = stored(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("is:"))).alias("tokens"),
-                              F.substring(F.get(verdicts, F.lit(0)), 4, 1000).alias("verdict"), "freq").filter(F.size("tokens") <= longest), "frequent_sets")
+    rows = labelled.count()
+    support = min(1.0, max(support, MIN_ROWS / max(1, rows)))
+    least = ceil(support * rows)
+    numbered = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict"), "labelled_urls")
+    items = numbered.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
+    common = items.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("token")
+    kept = items.join(common, "token").groupBy("row").agg(F.collect_list("token").alias("tokens"))
+    baskets = stored(numbered.select("row", "verdict").join(kept, "row", "left").select(F.array_sort(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"), "verdict"), "frequent_items")
+    if (baskets.agg(F.max(F.size("tokens"))).first()[0] or 0) > widest:
+        sets = stored(_counted(baskets, least, longest), "frequent_sets")
+    else:
+        sets = stored(_grown(baskets, support).filter(F.size("tokens") <= longest), "frequent_sets")
     plain = sets.filter(F.col("verdict").isNull()).select("tokens", F.col("freq").alias("total"))
-    rows = labelled.groupBy("verdict").agg(F.count("*").alias("own")).withColumn("all", F.sum("own").over(_whole()))
-    rules = sets.filter(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).join(plain, "tokens").join(rows, "verdict").select(
+    priors = labelled.groupBy("verdict").agg(F.count("*").alias("own")).withColumn("all", F.sum("own").over(_whole()))
+    rules = sets.filter(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).join(plain, "tokens").join(priors, "verdict").select(
         "tokens", "verdict", F.col("freq").alias("support"), (F.col("freq") / F.col("total")).alias("confidence"), (F.col("own") / F.col("all")).alias("prior"))
     rules = rules.filter((F.col("confidence") >= confidence) & (F.col("confidence") >= F.least(F.lit(1.0), lift * F.col("prior"))))
     smaller = rules.select("verdict", F.col("tokens").alias("less"), F.col("confidence").alias("less_confidence"))
@@ -117,6 +134,14 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     return stored(rules.join(needless, ["verdict", "tokens"], "left_anti").select("tokens", "verdict", "support", "confidence"), "url_rules")
 
 
+def _grown(baskets: DataFrame, support: float) -> DataFrame:
+    """``tokens``, ``verdict`` (null for any) and ``freq`` of the sets that FP-growth finds."""
+    item = F.concat(F.lit("is:"), F.col("verdict"))
+    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets.select(F.array_append("tokens", item).alias("items"))).freqItemsets
+    verdicts = F.filter("items", lambda x: x.startswith("is:"))
+    return sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("is:"))).alias("tokens"), F.substring(F.get(verdicts, F.lit(0)), 4, 1000).alias("verdict"), "freq")
+
+
 def _whole():
     from pyspark.sql import Window
 

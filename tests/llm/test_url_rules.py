@@ -62,3 +62,21 @@ def test_odd_rows(spark):
         if r["page_id"] is not None:
             assert (r["host"], r["path"], r["rule"]) == (*plain(urls[r["page_id"]])[:2], plain(urls[r["page_id"]])[2][0])
     assert url_rules.judge(df.filter(F.lit(False))).count() == 0
+
+
+def test_the_whole_url_is_told(spark):
+    deep = [(i, f"http://h.net/a/b/c/d/e/casino/{i}") for i in range(20)] + [(100 + i, f"http://g.org/fr/b/c/d/e/news/{i}") for i in range(20)]
+    keyed = [(200 + i, "http://h.net/?a=1&b=1&c=1&d=1&zz&s=bet") for i in range(20)] + [(300 + i, "http://g.org/fr/?a=1&b=1&c=1&d=1&yy=1&s=read") for i in range(20)]
+    open_ = [(900, "http://o.com/a/x/c/d/e/casino/1"), (901, "http://o.com/?a=1&b=1&c=1&d=1&zz"), (902, "http://o.com/?s=bet")]
+    found = cases.rows_of(url_rules.judge(spark.createDataFrame(deep + keyed + open_, "page_id bigint, url string")), "page_id")
+    assert [found[i]["verdict"] for i in (900, 901, 902)] == ["block"] * 3
+    assert (found[900]["mined"], found[901]["mined"], found[902]["mined"]) == (["path:casino"], ["key:zz"], ["value:s=bet"])
+
+
+def test_wide_baskets_give_the_same_rules(spark):
+    baskets = [([f"t{(i * j) % 11}" for j in range(1, 8)], "block" if i % 3 else "allow") for i in range(120)] + [(["rare"], "allow")]
+    df = spark.createDataFrame([(sorted(set(t)), v) for t, v in baskets], "tokens array<string>, verdict string")
+    rules = lambda widest: sorted((*r["tokens"], r["verdict"], r["support"], r["confidence"]) for r in url_rules.mine(df, support=0.05, confidence=0.6, lift=1.0, widest=widest).collect())
+    assert rules(0) == rules(99) and rules(0)
+    wide = spark.createDataFrame([([f"w{k}" for k in range(60)], "block")] * 10 + [(["other"], "allow")] * 10, "tokens array<string>, verdict string")
+    assert {tuple(r["tokens"]) for r in url_rules.mine(wide).collect()} == {(f"w{k}",) for k in range(60)} | {("other",)}
