@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, line_dedup, packing, pii, quality, repair, simhash, suffix_tree, toxicity, url_rules, whitening
+from spanloom.llm import decontam, line_dedup, notices, packing, pii, quality, repair, simhash, suffix_tree, toxicity, url_rules, whitening
 from spanloom.llm.frames import stored
 from spanloom.session import shared_folder
 
@@ -91,3 +91,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return whitening.transform(rows, whitening.fit(rows))
+
+
+@query
+def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(table(spark, sf_dir, "documents")).drop("spans")
