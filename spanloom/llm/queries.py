@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, line_dedup, notices, packing, pii, quality, repair, simhash, suffix_tree, toxicity, url_rules, whitening
+from spanloom.llm import alignment, decontam, line_dedup, notices, packing, pii, quality, repair, simhash, suffix_tree, toxicity, url_rules, whitening
 from spanloom.llm.frames import stored
 from spanloom.session import shared_folder
 
@@ -87,6 +87,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")

@@ -85,7 +85,7 @@ class Encoder:
             return lead + piece[:-1], piece[-1]
         return _BYTES.findall(lead + piece) if self.byte_level else _WORDS.findall(piece)
 
-    def _ids(self, piece: str) -> list[int]:
+    def ids_of(self, piece: str) -> list[int]:
         ids: list[int] = []
         for part in self._cut(piece):
             own = self.parts.get(part)
@@ -105,7 +105,7 @@ class Encoder:
         ids, sizes = [], np.empty(len(new), np.int64)
         for i, piece in enumerate(new):
             before = len(ids)
-            ids += self._ids(piece)
+            ids += self.ids_of(piece)
             sizes[i] = len(ids) - before
         first = len(self.known) - len(new)
         while len(self.known) > len(self.begin):
