@@ -72,16 +72,49 @@ def notices(texts: dict[str, tuple[str, ...]] = NOTICES, chars_per_edit: int = C
     return [Notice(label, text, max(1, len(text) // chars_per_edit)) for label, own in texts.items() for text in own]
 
 
+def least_edits(notice: str, window: str, anchored: bool = False) -> list[int]:
+    """Fewest edits between the notice and a stretch of the window, for every end of the stretch from 0 on.
+
+    The stretch may begin anywhere, or only at the window's begin if ``anchored``.
+    Columns of the table of edits are kept as bits of their differences.
+    """
+    own: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        own[c] = own.get(c, 0) | 1 << i
+    all_, last = (1 << len(notice)) - 1, 1 << len(notice) - 1
+    plus, minus, edits, found = all_, 0, len(notice), [len(notice)]
+    for c in window:
+        equal = own.get(c, 0)
+        diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
+        up, down = minus | ~(diagonal | plus) & all_, plus & diagonal
+        edits += bool(up & last) - bool(down & last)
+        found.append(edits)
+        up, down = up << 1 | anchored, down << 1
+        plus, minus = (down | ~((equal | minus) | up)) & all_, up & (equal | minus)
+    return found
+
+
 @lru_cache(65_536)
 def verified(notice: str, edits: int, window: str) -> tuple[int, int, int] | None:
-    """Start, end and edits of the best match of a notice in a window; None if every match needs more edits."""
-    best = _pattern(notice, edits).search(window)
-    return best and (best.start(), best.end(), sum(best.fuzzy_counts))
+    """Start, end and edits of the best match of a notice in a window; None if every match needs more edits.
+
+    Of equally good matches that which ends first counts, with the longest
+    stretch. Counting edits alone finds its place, where the pattern, which
+    is slow on text that does not match, has to match.
+    """
+    counts = least_edits(notice, window)
+    least = min(counts)
+    if least > edits:
+        return None
+    end = counts.index(least)
+    back = least_edits(notice[::-1], window[:end][::-1], anchored=True)
+    start = end - max(i for i, n in enumerate(back) if n == least)
+    return (start, end, least) if _pattern(notice, least).fullmatch(window, start, end) else None
 
 
 @lru_cache(1024)
 def _pattern(notice: str, edits: int) -> regex.Pattern:
-    return regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
+    return regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
 
 
 def _occurrences(data: bytes, part: bytes) -> Iterator[int]:

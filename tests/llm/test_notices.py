@@ -37,6 +37,23 @@ def least_edits(pattern, text):
     return best
 
 
+def test_edits_by_bits_equal_the_table():
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(1, n))) for n in (9, 14))
+        counts = notices.least_edits(a, b)
+        assert min(counts) == least_edits(a, b) and len(counts) == len(b) + 1
+        whole = [list(range(len(a) + 1))]
+        for j, c in enumerate(b, 1):
+            row = [j]
+            for i, p in enumerate(a, 1):
+                row.append(min(row[-1] + 1, whole[-1][i] + 1, whole[-1][i - 1] + (p != c)))
+            whole.append(row)
+        assert notices.least_edits(a, b, anchored=True) == [r[-1] for r in whole]
+        if hit := notices.verified(a, len(a), b):
+            assert hit[2] == min(counts) and least_edits(a, b[hit[0]:hit[1]]) == hit[2]
+
+
 def columns(r):
     return tuple(r[k] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels"))
 
