@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from spanloom.llm.frames import col_of, stored
-from spanloom.llm.token_ids import Encoder
+from spanloom.llm.token_ids import Encoder, groups
 
 #: A container closes at so many links or documents; a document is in one container whole.
 CONTAINER_LINKS, CONTAINER_DOCS = 4_000_000, 1 << 16
 #: A plane with fewer documents is a list of 16-bit numbers, any other a bitmap of all places.
 DENSE, BITMAP = 4096, CONTAINER_DOCS // 8
 #: Units (a word and what stands before it) that are kept at most; then the memory starts anew.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 600_000
 #: Pair rows in one batch of output.
 ROWS = 100_000
 
@@ -128,28 +129,30 @@ class Aligner:
         shown = ["".join(items[x:y]) if ok else None for x, y, ok in zip([0, *stops], stops, right)]
         return np.array([n_a, n_b, count(common), count(ends)]), links, shown
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, str]:
-        """Numbers of tokens in A and B, groups and links of a text; its links, ``a * ids of B + b``; its groups as text, '' without tokens."""
-        none = np.zeros(4, np.int64), np.empty(0, np.int64), ""
-        if not text:
-            return none
-        units = self._units(text)
-        if units is None:
-            numbers, links, shown = self.measured([(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())])
-            return (numbers[:, 0], links, shown[0][:-1]) if shown[0] else none
+    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+        """Of every text the numbers of tokens in A and B, groups and links; its links, ``a * ids of B + b``; its groups as text, '' without tokens."""
         if len(self.known) > KEPT_UNITS:
             self._clear()
-        if new := [u for u in dict.fromkeys(units) if u not in self.known]:
+        units = [self._units(text) if text else [] for text in texts]
+        # What is new in any of the texts is cut and measured at once.
+        if new := [u for u in dict.fromkeys(chain.from_iterable(filter(None, units))) if u not in self.known]:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        parts = [self.shown[i] for i in at.tolist()]
-        if None in parts:
-            return none
-        own = self.numbers[:, at]
-        stops = np.cumsum(own[3])
-        links = self.links[np.repeat(own[4] - stops + own[3], own[3]) + np.arange(stops[-1])]
-        return own[:4].sum(axis=1), links, "".join(parts)[:-1]
+        none = np.zeros(4, np.int64), np.empty(0, np.int64), ""
+        for text, own in zip(texts, units):
+            if own is None:
+                numbers, links, shown = self.measured([(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())])
+                yield (numbers[:, 0], links, shown[0][:-1]) if shown[0] else none
+                continue
+            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+            parts = [self.shown[i] for i in at.tolist()]
+            if not parts or None in parts:
+                yield none
+                continue
+            numbers = self.numbers[:, at]
+            stops = np.cumsum(numbers[3])
+            links = self.links[np.repeat(numbers[4] - stops + numbers[3], numbers[3]) + np.arange(stops[-1])]
+            yield numbers[:4].sum(axis=1), links, "".join(parts)[:-1]
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -287,14 +290,15 @@ def index(df: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: str
                               "n_links": pa.int64(), "sha": pa.string(), "pair": pa.int64(), "planes": pa.list_(pa.binary())}
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for i in range(batch.num_rows):
-                numbers, links, shown = tool.align(batch.column(1)[i].as_py())
-                if rows and (len(rows) == CONTAINER_DOCS or total + len(links) > CONTAINER_LINKS):
-                    yield from closed()
-                    rows, keys, total, number = [], [], 0, number + 1
-                keys.append(links << 16 | len(rows))
-                rows.append((batch.column(0).slice(i, 1), numbers, hashlib.sha256(shown.encode()).hexdigest() if shown else ""))
-                total += len(links)
+            texts = batch.column(1).to_pylist()
+            for group in groups(texts):
+                for i, (numbers, links, shown) in enumerate(tool.align(texts[group]), group.start):
+                    if rows and (len(rows) == CONTAINER_DOCS or total + len(links) > CONTAINER_LINKS):
+                        yield from closed()
+                        rows, keys, total, number = [], [], 0, number + 1
+                    keys.append(links << 16 | len(rows))
+                    rows.append((batch.column(0).slice(i, 1), numbers, hashlib.sha256(shown.encode()).hexdigest() if shown else ""))
+                    total += len(links)
         if rows:
             yield from closed()
 
@@ -345,7 +349,7 @@ def scores(indexed: DataFrame, counts: DataFrame) -> DataFrame:
         if open_ is not None:
             yield closed()
 
-    found = indexed.filter("pair is not null").select("container", "pair", "planes").join(counts.select("pair", "n_links", "best"), "pair")
+    found = indexed.filter("pair is not null").select("container", "pair", "planes").join(counts.select("pair", "n_links", "best").hint("merge"), "pair")
     ordered = found.select("container", "planes", "n_links", "best").repartition("container").sortWithinPartitions("container")
     return ordered.mapInArrow(run, "container bigint, at int, n_best bigint, count_sum bigint")
 
