@@ -8,6 +8,7 @@ a verdict needs is then aggregated per (flow, trace) with partial aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,6 @@ from spanloom.session import cut
 ARM_SLACK_MS = 5_000
 
 _CHOICE = "struct<start_ns:bigint,has_parent:boolean,span_id:string,end_ns:bigint,error:boolean,attr_ok:boolean>"
-_RESULT = f"struct<step:int,choice:{_CHOICE},out_of_order:boolean,matches:bigint>"
 
 
 def step_matches(step: Step) -> Column:
@@ -113,92 +113,50 @@ def candidates(spans: DataFrame, flows: Sequence[Flow], armed_ms: dict[str, int]
 
 # ------------------------------------------------------------- assignment
 
-#: Candidates of a (flow, trace) that are decided in one fold; more are decided step by step, with the same result.
-FOLD_BOUND = 10_000
-
-
 def _per_flow(flows: Sequence[Flow], value) -> Column:
     """A constant per flow name."""
     return F.try_element_at(F.create_map(*[x for f in flows for x in (F.lit(f.name), value(f))]), F.col("flow"))
 
 
-def _first(pool: Column) -> Column:
-    """The first with right attributes, else the first."""
-    return F.coalesce(F.get(F.filter(pool, lambda c: c["attr_ok"]), F.lit(0)), F.get(pool, F.lit(0)))
-
-
-def _assign_by_fold(hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
-    """All steps of a (flow, trace) in one fold over its candidates."""
-    grouped = hits.groupBy("flow", "trace_id").agg(F.array_sort(F.collect_list(F.struct(
-        "start_ns", "has_parent", "span_id", "step", "end_ns", "error", "attr_ok"))).alias("c"))
-    in_sequence = _per_flow(flows, lambda f: F.lit(f.order == "sequence"))
-    steps = _per_flow(flows, lambda f: F.lit(len(f.steps)))
-
-    def take(acc: Column, i: Column) -> Column:
-        own = F.filter(F.col("c"), lambda x: x["step"] == i)
-        free = F.filter(own, lambda x: ~F.array_contains(acc["used"], x["span_id"]))
-        in_order = F.filter(free, lambda x: ~F.col("in_sequence") | (x["start_ns"] >= acc["prev"]))
-        # A one-element array stands in for a local variable.
-        picked = F.transform(F.array(F.struct(
-            _first(in_order).alias("hit"), _first(free).alias("any"), F.size(own).cast("bigint").alias("n"))), lambda p: F.struct(
-            F.coalesce(p["hit"], p["any"]).alias("choice"),
-            (p["hit"].isNull() & p["any"].isNotNull()).alias("late"), p["n"].alias("n")))
-        return F.get(F.transform(picked, lambda p: F.struct(
-            F.when(p["choice"].isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(p["choice"]["span_id"]))).alias("used"),
-            F.when(p["choice"].isNull() | p["late"] | ~F.col("in_sequence"), acc["prev"]).otherwise(p["choice"]["start_ns"]).alias("prev"),
-            F.concat(acc["res"], F.array(F.struct(
-                i.alias("step"),
-                F.when(p["choice"].isNotNull(), F.struct(*[p["choice"][n].alias(n) for n in (
-                    "start_ns", "has_parent", "span_id", "end_ns", "error", "attr_ok")])).alias("choice"),
-                p["late"].alias("out_of_order"), p["n"].alias("matches")).cast(_RESULT))).alias("res"))), F.lit(0))
-
-    start = F.expr(f"named_struct('used', cast(array() as array<string>), 'prev', 0L, 'res', cast(array() as array<{_RESULT}>))")
-    folded = grouped.withColumn("in_sequence", in_sequence).withColumn("n", steps).select(
-        "flow", "trace_id", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, take, lambda acc: acc["res"]).alias("res"))
-    return folded.select("flow", "trace_id", F.inline("res"))
-
-
-def _assign_by_step(hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
-    """The same choice one step at a time for traces of any size: per step one
-    pre-aggregated pick against the small state of each (flow, trace)."""
-    in_sequence = _per_flow(flows, lambda f: F.lit(f.order == "sequence"))
-    state = hits.select("flow", "trace_id").distinct().withColumns({
-        "used": F.expr("cast(array() as array<string>)"), "prev": F.lit(0).cast("long"),
-        "res": F.expr(f"cast(array() as array<{_RESULT}>)")})
-    state = state.withColumn("in_sequence", in_sequence).withColumn("n", _per_flow(flows, lambda f: F.lit(len(f.steps))))
-    choice = F.struct("start_ns", "has_parent", "span_id", "end_ns", "error", "attr_ok")
-    for i in range(max(len(f.steps) for f in flows)):
-        own = hits.filter(F.col("step") == i).join(state.select("flow", "trace_id", "used", "prev", "in_sequence"), ["flow", "trace_id"])
-        free = ~F.array_contains("used", F.col("span_id"))
-        in_order = free & (~F.col("in_sequence") | (F.col("start_ns") >= F.col("prev")))
-        picks = own.groupBy("flow", "trace_id").agg(
-            F.coalesce(F.min(F.when(in_order & F.col("attr_ok"), choice)), F.min(F.when(in_order, choice))).alias("hit"),
-            F.coalesce(F.min(F.when(free & F.col("attr_ok"), choice)), F.min(F.when(free, choice))).alias("any"),
-            F.count("*").alias("m"))
-        joined = state.join(picks, ["flow", "trace_id"], "left").withColumn(
-            "late", F.col("hit").isNull() & F.col("any").isNotNull()).withColumn("choice", F.coalesce("hit", "any"))
-        result = F.struct(F.lit(i).alias("step"), F.col("choice").alias("choice"), F.col("late").alias("out_of_order"),
-                          F.coalesce(F.col("m"), F.lit(0)).alias("matches")).cast(_RESULT)
-        state = joined.select(
-            "flow", "trace_id", "in_sequence", "n",
-            F.when(F.col("choice").isNull(), F.col("used")).otherwise(F.concat("used", F.array("choice.span_id"))).alias("used"),
-            F.when(F.col("choice").isNull() | F.col("late") | ~F.col("in_sequence"), F.col("prev")).otherwise(F.col("choice.start_ns")).alias("prev"),
-            F.when(F.lit(i) < F.col("n"), F.concat("res", F.array(result))).otherwise(F.col("res")).alias("res"))
-    return state.select("flow", "trace_id", F.inline("res"))
-
-
-def assign_steps(hits: DataFrame, flows: Sequence[Flow], bound: int = FOLD_BOUND) -> DataFrame:
+def assign_steps(hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     """Which span each step takes, per (flow, trace): ``(flow, trace_id, step,
     choice, out_of_order, matches)``.
 
     Steps choose in order among spans no earlier step took: with ``sequence``
     order first those that started no earlier than the previous choice; among
-    them the first whose attributes are right, else the first. Groups larger
-    than ``bound`` candidates are decided step by step instead of in one fold.
+    them the first whose attributes are right, else the first.
+
+    One round per step: its candidates meet the small state of their (flow,
+    trace), the spans taken and the last start, and leave four minima and a
+    count, combined before they are shuffled. So a trace may have any number
+    of candidates. Every round's state is written, or the plan would double
+    with each step.
     """
-    sized = hits.join(hits.groupBy("flow", "trace_id").agg(F.count("*").alias("candidates")), ["flow", "trace_id"])
-    return _assign_by_fold(sized.filter(F.col("candidates") <= bound), flows).unionByName(
-        _assign_by_step(sized.filter(F.col("candidates") > bound), flows))
+    hits = cut(hits)
+    sequence = [f.name for f in flows if f.order == "sequence"]
+    state = cut(hits.select("flow", "trace_id").distinct().withColumns({
+        "used": F.expr("cast(array() as array<string>)"), "prev": F.lit(0).cast("long")}))
+    choice = F.struct("start_ns", "has_parent", "span_id", "end_ns", "error", "attr_ok")
+    results = []
+    for i in range(max(len(f.steps) for f in flows)):
+        named = F.col("flow").isin(*[f.name for f in flows if len(f.steps) > i])
+        ordered = F.col("flow").isin(*sequence)
+        own = hits.filter((F.col("step") == i) & named).join(state, ["flow", "trace_id"])
+        free = ~F.array_contains("used", F.col("span_id"))
+        in_order = free & (~ordered | (F.col("start_ns") >= F.col("prev")))
+        first = lambda met: F.min(F.when(met, choice))
+        picks = own.groupBy("flow", "trace_id").agg(
+            F.coalesce(first(in_order & F.col("attr_ok")), first(in_order)).alias("hit"),
+            F.coalesce(first(free & F.col("attr_ok")), first(free)).alias("any"), F.count("*").alias("m"))
+        chosen = cut(state.filter(named).join(picks, ["flow", "trace_id"], "left").select(
+            "flow", "trace_id", "used", "prev", F.coalesce("hit", "any").alias("choice"),
+            (F.col("hit").isNull() & F.col("any").isNotNull()).alias("late"), F.coalesce("m", F.lit(0)).alias("matches")))
+        results.append(chosen.select("flow", "trace_id", F.lit(i).alias("step"), F.col("choice").cast(_CHOICE).alias("choice"),
+                                     F.col("late").alias("out_of_order"), "matches"))
+        state = chosen.select(
+            "flow", "trace_id", F.when(F.col("choice").isNull(), F.col("used")).otherwise(F.array_append("used", F.col("choice.span_id"))).alias("used"),
+            F.when(F.col("choice").isNull() | F.col("late") | ~ordered, F.col("prev")).otherwise(F.col("choice.start_ns")).alias("prev"))
+    return reduce(DataFrame.unionByName, results)
 
 
 # ---------------------------------------------------------------- verdicts
@@ -217,11 +175,11 @@ def _step_facts(flows: Sequence[Flow]) -> Column:
     return F.get(_per_flow(flows, lambda f: F.array(*[facts(s) for s in f.steps])), F.col("step"))
 
 
-def step_results(judged: DataFrame, hits: DataFrame, flows: Sequence[Flow], bound: int = FOLD_BOUND) -> DataFrame:
+def step_results(judged: DataFrame, hits: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     """One row per (flow, trace, step) of the judged pairs with its status."""
     pairs = judged.select("flow", "trace_id")
     kept = hits.join(pairs, ["flow", "trace_id"], "left_semi")
-    rows = assign_steps(kept, flows, bound).withColumn("s", _step_facts(flows))
+    rows = assign_steps(kept, flows).withColumn("s", _step_facts(flows))
     c = F.col("choice")
     duration = F.when(c.isNotNull(), F.greatest(c["end_ns"] - c["start_ns"], F.lit(0)).cast("double") / F.lit(1e6))
     miscounted = F.coalesce(F.col("matches") < F.col("s.at_least"), F.lit(False)) | F.coalesce(
@@ -269,11 +227,11 @@ def best_verdicts(per_trace: DataFrame) -> DataFrame:
         F.count("*").alias("traces_considered")).select("flow", "v.*", "traces_considered")
 
 
-def judge(spans: DataFrame, flows: Sequence[Flow], now_ms: int, armed_ms: dict[str, int] | None = None,
-          bound: int = FOLD_BOUND) -> tuple[DataFrame, DataFrame]:
+def judge(spans: DataFrame, flows: Sequence[Flow], now_ms: int, armed_ms: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Verdict rows and step rows of every (flow, trace) pair to consider."""
-    judged = candidates(spans, flows, armed_ms)
-    steps = step_results(judged, step_hits(spans, flows), flows, bound)
+    # Read by the steps and by the verdicts.
+    judged = cut(candidates(spans, flows, armed_ms))
+    steps = step_results(judged, step_hits(spans, flows), flows)
     return verdicts(judged, steps, flows, now_ms), steps
 
 
