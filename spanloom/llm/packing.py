@@ -8,25 +8,28 @@ Only lengths matter for that, and a sequence length has few of them: the plan
 is made from a histogram, in which equal bins are made as often as the counts
 allow. Plans have at most a few thousand patterns whatever the corpus, and
 are the same for any partitioning. Pieces then look up their place by length
-and rank. Ranks are counted in buckets within a length, so a length that a
-third of all pieces share is counted by many tasks.
+and rank. A piece is ranked among those of its length while its task encodes
+it, so what is summed afterwards are counts by task and length, and no piece
+has to move to get its rank; a length that a third of all pieces share is
+counted by all tasks.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.frames import col_of, stored
-from spanloom.llm.token_ids import encoder
+from spanloom.llm.token_ids import encoder, groups
 
 CAPACITY = 2048
-#: Rows that are ranked together, about, and into how many buckets they are dealt at least.
-RANKED_ROWS, LEAST_BUCKETS = 100_000, 64
 
 
 @dataclass(frozen=True)
@@ -90,49 +93,71 @@ def _best_pair(left: np.ndarray, room: int, over: int) -> list[int] | None:
 
 
 def pieces(df: DataFrame, id: str, text: str, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit) of every piece.
+    """``doc_id``, ``piece``, ``start``, ``length``, ``ids``, ``ids_crc32``, ``part`` and ``rank`` of every piece.
 
     A document is its ids and the end id. Only a longer one than the capacity
     is cut, into pieces of full length; its first piece takes the remainder.
+    ``ids`` are unsigned and little-endian, of two bytes if every id of the
+    tokenizer fits, else of four; ``ids_crc32`` is that of the four bytes.
+    ``rank`` counts the pieces of the length in the task ``part``; store the rows before use.
     """
-
-    def cut(texts: pd.Series) -> pd.Series:
-        encode = encoder(tokenizer).encode
-        out = []
-        for t in texts:
-            ids = np.append(encode(t), np.uint32(end_id)).astype("<u4")
-            head = len(ids) % capacity or capacity
-            out.append([ids[a:b].tobytes() for a, b in zip([0, *range(head, len(ids), capacity)], range(head, len(ids) + 1, capacity))])
-        return pd.Series(out)
-
-    # Marked as not deterministic so that no plan encodes a text twice.
-    own = df.select(col_of(df, id).alias("doc_id"), F.pandas_udf(cut, "array<binary>").asNondeterministic()(col_of(df, text)).alias("cuts"))
-    rows = own.select("doc_id", F.posexplode("cuts").alias("piece", "ids"), F.length(F.get("cuts", F.lit(0))).alias("head"))
-    length = (F.length("ids") / 4).cast("int")
-    start = F.when(F.col("piece") == 0, 0).otherwise(F.col("head") / 4 + (F.col("piece") - 1) * F.lit(capacity).cast("long"))
-    return rows.select("doc_id", F.col("piece").cast("int"), start.cast("long").alias("start"), length.alias("length"), "ids")
+    kind = df.select(col_of(df, id)).schema[0].dataType.simpleString()
+    own = df.select(col_of(df, id).alias("doc_id"), col_of(df, text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    small = _small(tokenizer, end_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, seen = encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for group in groups(texts):
+                flat, sizes = enc.encode_all(texts[group])
+                ends = np.cumsum(sizes)
+                flat = np.insert(flat, ends, np.uint32(end_id)).astype("<u4")
+                sizes = sizes + 1
+                n = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                head = (sizes - 1) % capacity + 1
+                length = np.where(piece == 0, head[doc], capacity)
+                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                stops = np.cumsum(length)
+                # The rank of a piece: how many of its length came before it here.
+                order = np.argsort(length, kind="stable")
+                ordered = length[order]
+                first = np.searchsorted(ordered, ordered)
+                rank = np.empty(len(length), np.int64)
+                rank[order] = seen[ordered] + np.arange(len(length)) - first
+                seen += np.bincount(length, minlength=capacity + 1)
+                data = flat.astype("<u2") if small else flat
+                offsets = np.concatenate(([0], stops * data.itemsize)).astype(np.int32)
+                crc = np.array([zlib.crc32(flat[a:b]) for a, b in zip((stops - length).tolist(), stops.tolist())], np.int64)
+                yield pa.record_batch({
+                    "doc_id": batch.column(0).take(pa.array(doc + group.start)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length.astype(np.int32)),
+                    "ids": pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]), "ids_crc32": pa.array(crc),
+                    "part": batch.column(2).take(pa.array(doc + group.start)), "rank": pa.array(rank)})
+
+    return own.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length int, ids binary, ids_crc32 bigint, part int, rank bigint")
+
+
+def _small(tokenizer: str, end_id: int) -> bool:
+    return max(end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16
 
 
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with ``length`` (and ``doc_id``, ``piece`` for their order).
+    """Rows with ``length``, ``part`` and ``rank`` get ``sequence_id`` and ``offset`` in place of the last two.
 
     Every other column stays as it is; ``table`` should be stored, as it is
     read twice. No rows give no rows.
     """
-    others = table.columns
-    rows = table.count()
-    buckets = max(LEAST_BUCKETS, -(-rows // RANKED_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    dealt = table.withColumn("_bucket", bucket)
-    # At most capacity lengths times the buckets.
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = stored(before.select("length", "_bucket", "_n", F.coalesce("_before", F.lit(0)).alias("_before")), "length_ranks")
-    histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    others = [c for c in table.columns if c not in ("part", "rank")]
+    # At most capacity lengths for every task that encoded.
+    sizes = table.groupBy("part", "length").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stored(sizes.withColumn("before", earlier), "length_ranks")
+    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan(histogram, capacity), capacity)
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", *[F.xxhash64(c) for c in others if c not in ("doc_id", "piece", "length")])
-    ranked = dealt.withColumn("_rank", F.row_number().over(order).cast("long") - 1).join(before.select("length", "_bucket", "_before"), ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # Spark broadcasts the counts while they are small, and joins by task and length beyond that.
+    ranked = table.join(sizes.select("part", "length", "before"), ["part", "length"]).withColumn("_rank", F.col("rank") + F.col("before"))
 
     def seek(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         ids, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -163,13 +188,18 @@ def _slots(patterns: list[Pattern], capacity: int) -> dict[int, tuple[np.ndarray
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of all documents with their ids and their place.
+    """The pieces of all documents with their ids (little-endian unsigned 32-bit) and their place.
 
     Null and empty texts are documents of the end id alone. Repeated rows and
     equal or null ids are documents of their own, told apart by their rows.
-    An empty table gives no pieces. Other columns are not read.
+    Very long texts are encoded whole and cut. An empty table gives no pieces.
+    Other columns are not read.
     """
-    return place(stored(pieces(df, id, text, tokenizer, end_id, capacity), "pieces"), capacity)
+    packed = place(stored(pieces(df, id, text, tokenizer, end_id, capacity), "pieces"), capacity)
+    if not _small(tokenizer, end_id):
+        return packed
+    wide = F.pandas_udf(lambda ids: pd.Series([np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids], dtype=object), "binary")
+    return packed.withColumn("ids", wide("ids"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

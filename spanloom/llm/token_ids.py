@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import regex
 import tokenizers
 
 #: Pieces, and parts of pieces, that are kept at most, about 200 bytes each; then the memory starts anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES, KEPT_PARTS = 800_000, 200_000
 #: Latin letters in their composed forms, digits, marks and single blanks: no normalisation but lower case applies.
 _PLAIN = re.compile("[\n \x21-\x7e¡-¬®-ÿ]*")
 #: Marks the first word of a text, which has no space before it; no plain text has this character.
@@ -90,9 +91,9 @@ class Encoder:
         for part in self._cut(piece):
             own = self.parts.get(part)
             if own is None:
-                if len(self.parts) >= KEPT_PIECES:
+                if len(self.parts) >= KEPT_PARTS:
                     self.parts.clear()
-                shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.visible)
+                shown = part if part.isalnum() and part.isascii() else part.encode().decode("latin-1").translate(self.visible)
                 own = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
             ids += own
         return ids
@@ -133,20 +134,48 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text as unsigned 32-bit numbers; none for null or empty."""
-        if not text:
-            return np.empty(0, np.uint32)
-        pieces = self._pieces(text)
-        if pieces is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other as unsigned 32-bit numbers, and how many each text has."""
         if len(self.known) > KEPT_PIECES:
             self._clear()
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        at: list[int] = []
+        counts, whole = [], {}
+        for i, text in enumerate(texts):
+            pieces = self._pieces(text) if text else ()
+            if pieces is None:
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                pieces = ()
+            before = len(at)
+            at.extend(map(self.known.__getitem__, pieces))
+            counts.append(len(at) - before)
         self._learn()
-        if not len(at):
-            return np.empty(0, np.uint32)
+        at, counts = np.array(at, np.int64), np.array(counts, np.int64)
         begin, sizes = self.begin[at], self.size[at]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate(([0], ends))[np.cumsum(counts)]
+        own = np.diff(stops, prepend=0)
+        if whole:
+            parts = np.split(ids, stops[:-1])
+            for i, x in whole.items():
+                parts[i], own[i] = x, len(x)
+            ids = np.concatenate(parts)
+        return ids, own
+
+
+def groups(texts: Sequence[str | None], chars: int = 1 << 21) -> Iterator[slice]:
+    """Runs of texts of about so many characters; a longer text is a run of its own."""
+    start, total = 0, 0
+    for i, text in enumerate(texts):
+        own = len(text or "")
+        if i > start and total + own > chars:
+            yield slice(start, i)
+            start, total = i, 0
+        total += own
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def encoder(path: str) -> Encoder:
