@@ -63,9 +63,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = stored(packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0), "pieces")
-    digests = cut.select("doc_id", "piece", "start", F.col("length"), F.crc32("ids").alias("ids_crc32"))
-    return packing.place(digests).select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
+    cut = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 0)
+    packed = packing.place(stored(cut.drop("ids"), "pieces"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 @query
