@@ -1,11 +1,13 @@
 """Token id files compressed by Re-Pair grammars.
 
 A shard is a run of documents in ascending id order. Its ids become a grammar:
-frequent neighbouring pairs are replaced by new symbols, again and again, and
-what remains is a shorter sequence and the rules. A round replaces all pairs
-that are frequent at its start (the rarer ones still as often as they are left
-over), which makes few passes of array work out of thousands of single steps.
-Each symbol's expansion length is stored, so any range of ids is decoded by
+frequent neighbouring pairs are replaced by new symbols, again and again until
+none is left, and what remains is a shorter sequence and the rules. A round
+replaces all pairs that are frequent at its start (the rarer ones still as
+often as they are left over), which makes few passes of array work out of
+thousands of single steps. Pairs only grow rarer unless a new symbol is in
+them, so after the first round only places next to new symbols, and those of
+frequent pairs that were left over, are looked at again. Each symbol's expansion length is stored, so any range of ids is decoded by
 finding the symbols that cover it and expanding only those.
 
 A file is a Parquet table with a row per shard: Spark's committer writes it
@@ -22,56 +24,111 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.frames import col_of, stored
-from spanloom.llm.token_ids import encoder
+from spanloom.llm.token_ids import encoder, groups
 
 #: Ids a shard closes at; a longer document is a shard of its own.
 SHARD_IDS = 500_000
-#: A pair is worth a rule from this many replacements on; rounds per shard; slots of the pair table.
-LEAST_PAIRS, ROUNDS, TABLE = 12, 8, 1 << 18
+#: A pair is worth a rule from this many replacements on.
+LEAST_PAIRS = 12
+#: Slots of the table that numbers pairs (a power of two), and how many pairs are sorted instead.
+_BITS, _FEW = 18, 20_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 SHARD = "part int, shard int, symbols int, doc_ids binary, null_ids binary, sizes binary, left binary, right binary, spans binary, sequence binary"
 
 
-def compress(ids: np.ndarray, symbols: int, least: int = LEAST_PAIRS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, and left and right side of the rules; rule ``i`` is symbol ``symbols + i``. ``symbols`` is over every id."""
-    seq, lefts, rights, top = ids.astype(np.int64), [], [], symbols
-    for _ in range(rounds):
-        if len(seq) < 2:
+def _slots(pairs: np.ndarray, way: int) -> np.ndarray:
+    return ((pairs.view(np.uint64) * _MIX[way]) >> np.uint64(64 - _BITS)).view(np.int64)
+
+
+def _numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal pairs from 0 on, and the pair of each number.
+
+    A slot numbers the pair that it holds; pairs that share it take part in the next of three ways, what is left is sorted.
+    """
+    if len(pairs) <= _FEW:
+        held, number = np.unique(pairs, return_inverse=True)
+        return number, held
+    number, held, todo, rest, first = np.empty(len(pairs), np.int64), [], np.arange(len(pairs)), pairs, 0
+    for way in range(len(_MIX)):
+        slot, table, used = _slots(rest, way), np.zeros(1 << _BITS, np.int64), np.zeros(1 << _BITS, bool)
+        table[slot] = rest
+        own = table[slot] == rest
+        used[slot[own]] = True
+        number[todo[own]] = (np.cumsum(used) + (first - 1))[slot[own]]
+        held.append(table[used])
+        first += len(held[-1])
+        todo = todo[~own]
+        rest = pairs[todo]
+    last, of = np.unique(rest, return_inverse=True)
+    number[todo] = first + of
+    return number, np.concatenate([*held, last])
+
+
+def compress(ids: np.ndarray, symbols: int, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, and left and right side of the rules; rule ``i`` is symbol ``symbols + i``. ``symbols`` is over every id.
+
+    Goes on until no pair stands ``least`` times in places that do not overlap.
+    """
+    n, top, lefts, rights = len(ids), symbols, [], []
+    # Places keep their numbers; a place that was joined to the one before it is skipped by its neighbours.
+    seq, after, before, open_ = ids.astype(np.int64), np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool)
+    touched = np.zeros(n + 1, bool)
+    at = np.arange(max(n - 1, 0))
+    while len(at):
+        pairs = seq[at] << 32 | seq[after[at]]
+        if len(at) > _FEW:
+            slot = _slots(pairs, 0)
+            maybe = (np.bincount(slot, minlength=1 << _BITS) >= least)[slot]
+            at, pairs = at[maybe], pairs[maybe]
+        number, held = _numbered(pairs)
+        counts = np.bincount(number, minlength=len(held))
+        often = (counts >= least)[number]
+        at, number = at[often], number[often]
+        if not len(at):
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        counts = np.bincount(slot, minlength=TABLE)
-        # A slot stands for the pair of it that comes last; pairs that share its slot wait for another round.
-        holder = np.zeros(TABLE, np.int64)
-        holder[slot] = pair
-        hit = (counts[slot] >= least) & (holder[slot] == pair)
-        at = _apart(np.flatnonzero(hit))
-        exact = np.bincount(slot[at], minlength=TABLE)
-        good = np.flatnonzero(exact >= least)
-        if not len(good):
-            break
-        rule = np.full(TABLE, -1, np.int64)
-        rule[good] = top + np.arange(len(good))
-        at = at[exact[slot[at]] >= least]
-        symbol = rule[slot[at]]
-        lefts.append(holder[good] >> 32)
-        rights.append(holder[good] & 0xFFFFFFFF)
-        top += len(good)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq[at] = symbol
-        seq = seq[keep]
+        near = after[at[:-1]] == at[1:]
+        take = _apart(near)
+        got = np.bincount(number[take], minlength=len(held))
+        if got.max() < least:
+            # All are in each other's way: a pair gives way to a more frequent neighbour.
+            rank = np.empty(len(held), np.int64)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(held))
+            own = rank[number]
+            free = np.ones(len(at), bool)
+            free[1:] &= ~near | (own[1:] <= own[:-1])
+            free[:-1] &= ~near | (own[:-1] <= own[1:])
+            kept = np.flatnonzero(free)
+            take = kept[_apart(after[at[kept[:-1]]] == at[kept[1:]])]
+            got = np.bincount(number[take], minlength=len(held))
+            if got.max() < least:
+                # The most frequent pair overlaps itself too often, and is done.
+                at = at[own != own.min()]
+                continue
+        good = got >= least
+        take = take[good[number[take]]]
+        rule = top + np.cumsum(good) - 1
+        lefts.append(held[good] >> 32)
+        rights.append(held[good] & 0xFFFFFFFF)
+        top += int(good.sum())
+        first, second = at[take], after[at[take]]
+        third = after[second]
+        touched[first] = touched[second] = True
+        stay = at[~(touched[at] | touched[after[at]])]
+        touched[first] = touched[second] = False
+        seq[first], open_[second], after[first], before[third] = rule[number[take]], False, third, first
+        at = np.concatenate((stay, first[third < n], before[first][before[first] >= 0]))
+        at = np.unique(at) if len(at) <= _FEW else np.flatnonzero(np.bincount(at, minlength=n))
     empty = np.empty(0, np.int64)
-    return seq, np.concatenate(lefts or [empty]), np.concatenate(rights or [empty])
+    return seq[open_], np.concatenate(lefts or [empty]), np.concatenate(rights or [empty])
 
 
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions, every other one of each run of neighbours."""
-    if not len(at):
-        return at
-    starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
-    run = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
-    return at[(at - run) % 2 == 0]
+def _apart(near: np.ndarray) -> np.ndarray:
+    """Every other place of each run of neighbours; ``near`` says of each place but the first whether it is next to the one before."""
+    alone = np.append(True, ~near)
+    starts = np.flatnonzero(alone)
+    since = np.arange(len(alone)) - np.repeat(starts, np.diff(np.append(starts, len(alone))))
+    return np.flatnonzero(since % 2 == 0)
 
 
 def spans_of(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
@@ -100,6 +157,16 @@ def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -
     return seq
 
 
+def expand_all(seq: np.ndarray, left: np.ndarray, right: np.ndarray, spans: np.ndarray, symbols: int) -> np.ndarray:
+    """As ``expand``, by expanding every rule once: what the rules stand for is far shorter than a whole shard."""
+    known = np.concatenate((np.arange(symbols), expand(symbols + np.arange(len(left)), left, right, symbols)))
+    size = np.concatenate((np.ones(symbols, np.int64), spans))
+    begin = np.cumsum(size) - size
+    own = size[seq]
+    ends = np.cumsum(own)
+    return known[np.repeat(begin[seq] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def slice_ids(shard: dict, start: int, stop: int) -> np.ndarray:
     """Ids from ``start`` to ``stop`` of a shard row, expanding only what covers them."""
     seq, left, right, spans = (np.frombuffer(shard[k], "<u4").astype(np.int64) for k in ("sequence", "left", "right", "spans"))
@@ -121,12 +188,16 @@ def encode_shards(df: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held, total, number, part = encoder(tokenizer), [], 0, 0, 0
         for batch in batches:
-            for doc_id, text, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                held.append((doc_id, np.append(enc.encode(text), np.uint32(end_id))))
-                total += len(held[-1][1])
-                if total >= shard_ids:
-                    yield _shard(held, part, number)
-                    held, total, number = [], 0, number + 1
+            ids, texts, parts = (batch.column(i).to_pylist() for i in range(3))
+            for own in groups(texts):
+                flat, sizes = enc.encode_all(texts[own])
+                for doc_id, one in zip(ids[own], np.split(flat, np.cumsum(sizes)[:-1])):
+                    held.append((doc_id, np.append(one, np.uint32(end_id))))
+                    total += len(held[-1][1])
+                    if total >= shard_ids:
+                        yield _shard(held, parts[0], number)
+                        held, total, number = [], 0, number + 1
+            part = parts[0] if parts else part
         if held:
             yield _shard(held, part, number)
 
@@ -160,8 +231,8 @@ def documents(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seq, left, right = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("sequence", "left", "right"))
-                ids = expand(seq, left, right, row["symbols"]).astype("<u4")
+                seq, left, right, spans = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("sequence", "left", "right", "spans"))
+                ids = expand_all(seq, left, right, spans, row["symbols"]).astype("<u4")
                 sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 nulls = np.frombuffer(row["null_ids"], "u1").astype(bool)

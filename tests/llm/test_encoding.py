@@ -24,6 +24,22 @@ def test_encoder_equals_the_tokenizer(path):
         assert own.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def apart(seq, pair):
+    """In how many places that do not overlap a pair stands."""
+    n, i = 0, 0
+    while i < len(seq) - 1:
+        hit = (seq[i], seq[i + 1]) == pair
+        n, i = n + hit, i + 1 + hit
+    return n
+
+
+def test_a_rare_last_pair_starves_no_frequent_one():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate((np.tile([7, 8, 9], 300), rng.integers(10, 40_000, 60_000)))
+    seq, left, right = repair.compress(ids.astype(np.uint32), 40_000)
+    assert len(seq) < 60_000 + 40 and repair.expand(seq, left, right, 40_000).tolist() == ids.tolist()
+
+
 def test_grammars_give_back_every_range():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 9, 5000), np.zeros(1000, int), np.arange(50), np.array([5]), np.tile([1, 2, 3, 1, 2], 400)):
@@ -31,6 +47,9 @@ def test_grammars_give_back_every_range():
         seq, left, right = repair.compress(ids.astype(np.uint32), top)
         assert repair.expand(seq, left, right, top).tolist() == ids.tolist() and len(seq) <= len(ids)
         spans = repair.spans_of(left, right, top)
+        assert repair.expand_all(seq, left, right, spans, top).tolist() == ids.tolist()
+        # No pair is left in as many places that do not overlap.
+        assert all(apart(seq.tolist(), p) < repair.LEAST_PAIRS for p in set(zip(seq.tolist(), seq.tolist()[1:])))
         assert all(len(repair.expand(np.array([top + i]), left, right, top)) == s for i, s in enumerate(spans.tolist()))
         row = {k: v.astype("<u4").tobytes() for k, v in (("sequence", seq), ("left", left), ("right", right), ("spans", spans))} | {"symbols": top}
         for _ in range(20):
