@@ -34,14 +34,14 @@ def value(spark: SparkSession, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-#: A visit to a clinic: a calendar call that partly fails, a message sent, and a span whose parent is lost.
-CLINIC = [
-    span(10, None, "front-desk", "GET /slots", 1_000_000, 91_000_000, kind="server"),
-    span(11, 10, "front-desk", "sort slots", 60_000_000, 64_000_000),
-    span(12, 10, "front-desk", "fetch calendar", 5_000_000, 55_000_000, kind="client"),
-    span(13, 12, "calendar", "fetch calendar", 8_000_000, 50_000_000, kind="server"),
-    span(14, 13, "calendar", "FIND slots", 10_000_000, 30_000_000, kind="client", db__system="mongodb"),
-    span(15, 13, "calendar", "expand", 31_000_000, 33_000_000, status="error", message="calendar of kim@example.net is closed"),
-    span(16, 10, "front-desk", "visits send", 70_000_000, 71_000_000, kind="producer", messaging__destination__name="visits"),
-    span(17, 88, "reminders", "pick up", 80_000_000, 82_000_000),
+#: A buoy ticks: a sample goes through a queue, is stored in vain, looked up and checked; an archive lost its caller.
+TIDE = [
+    span(40, None, "buoy", "tick", 2_000_000, 30_000_000, kind="consumer"),
+    span(41, 40, "buoy", "read depth", 3_000_000, 4_000_000),
+    span(42, 40, "buoy", "push sample", 5_000_000, 25_000_000, kind="producer", messaging__destination__name="samples"),
+    span(43, 42, "harbour", "take sample", 9_000_000, 24_000_000, kind="consumer"),
+    span(44, 43, "harbour", "INSERT samples", 10_000_000, 14_000_000, kind="client", status="error", message="disk of kim@example.net is full", db__system="sqlite"),
+    span(45, 43, "harbour", "GET /moon", 15_000_000, 20_000_000, kind="client", peer__service="almanac"),
+    span(46, 43, "alarm", "check level", 21_000_000, 22_000_000, kind="server"),
+    span(47, 99, "archive", "sweep", 26_000_000, 27_000_000, status="error"),
 ]
