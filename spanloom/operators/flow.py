@@ -272,12 +272,23 @@ def _previous(df: DataFrame, value: Column, bucket_ms: int) -> DataFrame:
             .withColumn("before", F.coalesce("inside", "carried")).drop("bucket", "inside", "carried"))
 
 
-def change_feed(history: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+def change_feed(history: DataFrame, bucket_ms: int = 3_600_000, armings: DataFrame | None = None) -> DataFrame:
     """Of successive verdicts ``(flow, at_ms, status, trace_id, settled)`` the
-    decided ones that differ from the last decided one of their flow."""
+    decided ones that differ from the last decided one of their flow.
+
+    ``armings`` (``flow``, ``at_ms``) start anew: what was announced before
+    counts no more, so the first decided verdict from then on is announced. An
+    arming at the time of a verdict comes before it.
+    """
     decided = history.filter((F.col("status") == "fail") | ((F.col("status") == "pass") & F.col("settled")))
-    seen = _previous(decided, F.struct("status", "trace_id"), bucket_ms)
-    return seen.filter(~F.col("value").eqNullSafe(F.col("before"))).select(history.columns)
+    if armings is None:
+        seen = _previous(decided, F.struct("status", "trace_id"), bucket_ms)
+        return seen.filter(~F.col("value").eqNullSafe(F.col("before"))).select(history.columns)
+    # An arming is a row between the verdicts that equals none of them.
+    marks = armings.select("flow", "at_ms", F.lit("").alias("status"), F.lit("").alias("trace_id"), F.lit(True).alias("arms"))
+    rows = decided.withColumn("arms", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    seen = _previous(rows, F.struct("status", "trace_id"), bucket_ms)
+    return seen.filter(~F.col("arms") & ~F.col("value").eqNullSafe(F.col("before"))).select(history.columns)
 
 
 def flow_arming(history: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:

@@ -205,13 +205,26 @@ _HISTORY = """with h as (select 'customer-' || c_nationkey as flow, o_orderkey a
   from h where status = 'fail' or (status = 'pass' and settled))
 select flow, at_ms, status, trace_id, settled from d where before is null or before <> status || trace_id""")
 def verdict_change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.change_feed(_history(spark, sf), bucket_ms=1000)
+
+
+@query(_HISTORY + """, m as (select flow, at_ms, 1 as k, status || trace_id as v, status, trace_id, settled from h where status = 'fail' or (status = 'pass' and settled)
+  union all select flow, at_ms, 0, '', null, null, null from h where at_ms % 97 < 5),
+d as (select *, lag(v) over (partition by flow order by at_ms, k) as before from m)
+select flow, at_ms, status, trace_id, settled from d where k = 1 and (before is null or before <> v)""")
+def verdict_change_feed_rearmed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed of flows that are armed again now and then."""
+    history = _history(spark, sf)
+    return flows.change_feed(history, bucket_ms=1000, armings=history.filter("at_ms % 97 < 5").select("flow", "at_ms"))
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
     o, c = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/customer.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "pass").otherwise("running")
-    history = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(
+    return o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(
         F.concat(F.lit("customer-"), F.col("c_nationkey")).alias("flow"), F.col("o_orderkey").alias("at_ms"),
         status.alias("status"), F.concat(F.lit("t"), F.col("o_custkey") % 2).alias("trace_id"),
         (F.col("o_orderkey") % 3 != 0).alias("settled"))
-    return flows.change_feed(history, bucket_ms=1000)
 
 
 @query("""with h as (select o_custkey % 40 as f, o_orderkey as at_ms, o_orderstatus as definition, o_orderkey % 1000 = 0 as reset from orders),

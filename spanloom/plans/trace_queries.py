@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from spanloom.operators.summaries import (LIST_LIMIT, TraceFilter, newest_first,
                                           trace_summaries)
 from spanloom.plans.derived import ARRIVALS_SQL, SPANS_SQL, arrival_log, spans, table
 from spanloom.plans.registry import query
+from spanloom.session import shared_folder
 
 _WITH = f"with {SPANS_SQL}"
 _LOG = f"with {ARRIVALS_SQL}"
@@ -95,14 +98,22 @@ def failed_traces_newest(spark: SparkSession, sf: str) -> DataFrame:
     return newest_first(_filtered(spark, sf, TraceFilter(errors_only=True, limit=300)))
 
 
-@query(f"""{_WITH.replace("spans as (", "spans as materialized (")} select s.trace_id, s.span_id, s.parent_id, s.service from spans s
-  left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_id where s.parent_id is not null and p.span_id is null""")
+# Ids and references in one pass: what is only ever referred to is missing.
+_LOST = f"""{_WITH},
+refs as (select trace_id, span_id as id, 1 as here, null as child from spans
+  union all select trace_id, parent_id, 0, struct_pack(span_id := span_id, service := service) from spans where parent_id is not null),
+lost as (select trace_id, id, list(child) filter (here = 0) as children from refs group by 1, 2 having max(here) = 0),
+orphans as (select trace_id, id as parent_id, unnest(children) as child from lost)
+"""
+
+
+@query(_LOST + "select trace_id, child.span_id as span_id, parent_id, child.service as service from orphans")
 def orphan_span_list(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_spans(spans(spark, sf).select("trace_id", "span_id", "parent_id", "service"))
 
 
-@query(f"""{_WITH.replace("spans as (", "spans as materialized (")} select s.trace_id, s.span_id, s.service from spans s
-  left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_id where p.span_id is null""")
+@query(_LOST + """select trace_id, child.span_id as span_id, child.service as service from orphans
+  union all select trace_id, span_id, service from spans where parent_id is null""")
 def root_span_list(spark: SparkSession, sf: str) -> DataFrame:
     return root_spans(spans(spark, sf).select("trace_id", "span_id", "parent_id", "service")).drop("parent_id")
 
@@ -167,6 +178,15 @@ def store_counters(spark: SparkSession, sf: str) -> DataFrame:
     return store.counters(store.dedupe(arrival_log(spark, sf)))
 
 
+@query(_FOLD + """select count(distinct s.trace_id) as traces, count(*) as spans, (select count(*) from stored) as spans_added, max(u.updated_ms) as last_update_ms
+  from stored s join (select * from updates order by updated_ms desc, trace_id desc limit 500) u on u.trace_id = s.trace_id""")
+def store_counters_while_written(spark: SparkSession, sf: str) -> DataFrame:
+    """All counters of a store that keeps 500 traces, taken while it is written."""
+    counted = store.counted_store(arrival_log(spark, sf), max_traces=500)
+    counted.table.write.parquet(f"{shared_folder(spark)}/counted-{uuid.uuid4().hex}")
+    return spark.createDataFrame([counted.values()], "traces long, spans long, spans_added long, last_update_ms long")
+
+
 @query(f"""{_LOG}, first_seen as (select source, service, min(arrival_seq) as k from arrivals group by 1, 2)
 select a.source, a.spans, a.traces, f.services from
   (select source, count(*) as spans, count(distinct trace_id) as traces from arrivals group by 1) a
