@@ -14,6 +14,7 @@ the rules, not on the texts, and EM on those counts equals EM on the texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,9 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
+Table = tuple[tuple[float, float, float], tuple[float, float, float]]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A vote from a share of two features: bad on one side, good on the other, else abstain."""
@@ -41,6 +45,14 @@ class Rule:
     bad_to: float | None = None
     good_from: float | None = None
 
+    def prior(self) -> Table:
+        """What the rule is held to do before any text was seen: votes bad, good, abstain on bad and on good texts.
+
+        A vote it never casts has no share of either.
+        """
+        speaks = self.good_to is not None or self.good_from is not None
+        return ((0.2, 0.7, 0.1), (0.001, 0.9, 0.099)) if speaks else ((0.15, 0.0, 0.85), (0.001, 0.0, 0.999))
+
     def vote(self) -> Column:
         whole = F.col(self.whole)
         share = F.col(self.part) / whole
@@ -54,8 +66,7 @@ class Rule:
 
 #: Most rules know one kind of junk and are silent on everything else: their silence says little for a text.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", bad_from=0.15),
-    Rule("symbol_share", "n_symbols", "word_chars", bad_from=0.05),
+    Rule("symbols", "n_symbols", "n_words", bad_from=0.10, good_to=0.02),
     Rule("shouting", "n_upper", "word_chars", bad_from=0.40),
     Rule("exclamation", "n_exclaim", "n_words", bad_from=0.30),
     Rule("digits", "n_digits", "word_chars", bad_from=0.25),
@@ -63,7 +74,6 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", "n_lines", bad_from=0.40),
     Rule("word_length", "word_chars", "n_words", bad_from=14.0, bad_to=2.0),
     Rule("sentences", "n_stops", "n_words", bad_from=0.45, good_from=0.02),
-    Rule("plain", "n_symbols", "n_words", bad_from=0.10, good_to=0.02),
 )
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -112,6 +122,7 @@ def features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         _count(t, "[.?!]").alias("n_stops"))
 
 
+RESULT = [*COUNTS, "base_failed", "quality", "kept"]
 EXTRA = ["n_lines", "n_upper", "n_exclaim", "n_digits", "n_stops"]
 
 
@@ -120,75 +131,107 @@ class VoteModel:
     """Class balance and, for every rule, the probabilities of its votes on bad and on good texts."""
 
     prior: float
-    tables: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
+    tables: tuple[Table, ...]
 
     def posterior(self, votes: tuple[int, ...]) -> float:
         bad, good = math.log(1 - self.prior), math.log(self.prior)
         for v, (on_bad, on_good) in zip(votes, self.tables):
-            bad += math.log(on_bad[v])
-            good += math.log(on_good[v])
+            # A vote that neither class was ever seen or held to cast tells nothing.
+            if on_bad[v] and on_good[v]:
+                bad += math.log(on_bad[v])
+                good += math.log(on_good[v])
         return 1 / (1 + math.exp(max(-700.0, min(700.0, bad - good))))
 
 
-#: What a rule is held to do before any text was seen: votes bad, good, abstain on bad and on good texts.
-PRIOR_VOTES = ((0.25, 0.50, 0.25), (0.005, 0.745, 0.25))
+#: Texts that the tables of votes held before are worth, whatever the size of the corpus, and the share of good ones.
+PRIOR_TEXTS, PRIOR_GOOD = 1000, 0.8
+#: Share of good texts on which a rule votes bad at most; rules are made so, and EM is held to it.
+FALSE_ALARMS = 0.001
 
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 60, weight: float = 1.0) -> VoteModel:
+def fit(patterns: dict[tuple[int, ...], int], priors: Sequence[Table], rounds: int = 60, texts: float = PRIOR_TEXTS, alarms: float = FALSE_ALARMS) -> VoteModel:
     """EM over vote patterns with counts.
 
-    Starts at ``PRIOR_VOTES`` and keeps it as pseudo-counts worth ``weight``
-    times the texts (ten at least): rules about different kinds of junk
-    seldom agree, and on agreement alone the two classes would drift to some
-    other difference between texts. Texts without any vote
-    tell nothing; no texts at all leave the prior.
+    Starts at the ``priors`` of the rules and keeps them as pseudo-counts worth
+    ``texts`` texts. Rules about different kinds of junk seldom agree, and on
+    agreement alone the commonest kind would become the class and the others
+    good; so in every round no rule may vote bad on more than ``alarms`` of
+    the good texts. How often it does on bad ones, and how many of those there
+    are, is up to the corpus. Texts without any vote tell little; no texts at
+    all leave the priors.
     """
-    total = sum(patterns.values())
-    pseudo = max(10.0, weight * total)
-    model = VoteModel(0.8, (PRIOR_VOTES,) * rules)
+    model = VoteModel(PRIOR_GOOD, tuple(priors))
     for _ in range(rounds):
-        mass = [0.2 * pseudo, 0.8 * pseudo]
-        seen = [[[pseudo * p for p in side] for side in PRIOR_VOTES] for _ in range(rules)]
+        mass = [(1 - PRIOR_GOOD) * texts, PRIOR_GOOD * texts]
+        seen = [[[held * p for p in side] for held, side in zip(mass, rule)] for rule in priors]
         for votes, n in patterns.items():
             good = model.posterior(votes)
             for side, share in ((0, n * (1 - good)), (1, n * good)):
                 mass[side] += share
                 for r, v in enumerate(votes):
                     seen[r][side][v] += share
-        tables = tuple(tuple(tuple(x / sum(side) for x in side) for side in rule) for rule in seen)
+        tables = tuple((_shares(bad), _bounded(_shares(good), alarms)) for bad, good in seen)
         model = VoteModel(mass[1] / sum(mass), tables)
     return model
 
 
+def _shares(counts: list[float]) -> tuple[float, float, float]:
+    return tuple(x / sum(counts) for x in counts)
+
+
+def _bounded(shares: tuple[float, float, float], most: float) -> tuple[float, float, float]:
+    """Shares with at most ``most`` of the first; the others grow alike."""
+    if shares[BAD] <= most:
+        return shares
+    return tuple(most if v == BAD else x * (1 - most) / (1 - shares[BAD]) for v, x in enumerate(shares))
+
+
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> tuple[DataFrame, VoteModel]:
     """Features, votes and verdict of every row, and the fitted model.
 
-    Returns the columns ``keep`` (default: all), the counts, ``base_failed``,
+    Returns the columns ``keep`` (default: all but those named like a result), the counts, ``base_failed``,
     ``quality`` (posterior probability of good, double) and ``kept``. Null and
     empty texts have no words and fail the base. Repeated rows and equal ids
     are judged one by one. An empty table gives an empty result. Features are
     computed once and stored, as estimating and judging both read them.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in df.columns if c.lower() not in RESULT] if keep is None else keep
     names = {c: fresh(df, f"_k{i}") for i, c in enumerate(keep)}
     renamed = df.select(*[col_of(df, c).alias(n) for c, n in names.items()], col_of(df, text).alias("_source"))
-    counted = features(renamed, "_source", list(names.values()))
+    table = stored(coded(renamed, "_source", list(names.values()), rules), "quality")
+    model, known = learned(table, rules)
+    result = verdicts(table, known, threshold)
+    return result.select(*[F.col(n).alias(c) for c, n in names.items()], *COUNTS, "base_failed", "quality", "kept"), model
+
+
+def coded(df: DataFrame, text: str, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``features`` and ``_code``, the votes of all rules in one number."""
     code = F.lit(0)
     for rule in rules:
         code = code * 3 + rule.vote()
-    table = stored(counted.withColumn("_code", code.cast("int")), "quality")
+    return features(df, text, keep).withColumn("_code", code.cast("int"))
+
+
+def learned(table: DataFrame, rules: tuple[Rule, ...]) -> tuple[VoteModel, DataFrame]:
+    """The model of a table of ``_code``, and the ``quality`` of every code that occurs."""
     # At most 3 ** rules rows, whatever the corpus.
     patterns = {_votes(r["_code"], len(rules)): r["n"] for r in table.groupBy("_code").agg(F.count("*").alias("n")).collect()}
-    model = fit(patterns, len(rules))
-    known = df.sparkSession.createDataFrame([(_code(v), model.posterior(v)) for v in patterns], "_code int, quality double")
+    model = fit(patterns, [rule.prior() for rule in rules])
+    return model, table.sparkSession.createDataFrame([(_code(v), model.posterior(v)) for v in patterns], "_code int, quality double")
+
+
+def verdicts(table: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``quality``, ``base_failed`` and ``kept``."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     result = table.join(F.broadcast(known), "_code").withColumn("base_failed", failed)
-    result = result.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return result.select(*[F.col(n).alias(c) for c, n in names.items()], *COUNTS, "base_failed", "quality", "kept"), model
+    return result.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def kept_rows(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with the columns they came with."""
+    """The rows that are kept, with the columns they came with.
+
+    Null and empty ones go; repeated rows stay or go together.
+    """
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     renamed = df.select(*[col_of(df, c).alias(n) for c, n in names.items()])
     judged, _ = judge(renamed, names[text], list(names.values()), threshold=threshold)

@@ -38,16 +38,54 @@ def test_junk_goes_and_clean_texts_stay(spark):
     assert sum(not kept for good, kept in open_ if not good) >= 0.9 * sum(1 for good, _ in open_ if not good)
 
 
-def test_em_finds_accuracies():
-    rng = random.Random(3)
-    patterns = Counter()
+PRIORS = [rule.prior() for rule in quality.RULES]
+
+
+def test_em_finds_how_often_rules_see_junk():
+    rng, rates, patterns = random.Random(3), (0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15), Counter()
+    speaking = [rule.good_to is not None or rule.good_from is not None for rule in quality.RULES]
     for _ in range(20_000):
         good = rng.random() < 0.8
-        patterns[tuple((1 if good else 0) if rng.random() < a else (0 if good else 1) for a in (0.95, 0.8, 0.7))] += 1
-    model = quality.fit(dict(patterns), 3, rounds=1500, weight=0.0001)
-    assert abs(model.prior - 0.8) < 0.05
-    assert model.tables[0][1][1] > model.tables[1][1][1] > model.tables[2][1][1]
-    assert quality.fit({}, 3).prior == 0.8
+        rest = [quality.GOOD if s and rng.random() < (0.95 if good else 0.6) else quality.ABSTAIN for s in speaking]
+        patterns[tuple(quality.BAD if not good and rng.random() < x else v for x, v in zip(rates, rest))] += 1
+    model = quality.fit(dict(patterns), PRIORS)
+    assert abs(model.prior - 0.8) < 0.03
+    assert all(abs(table[quality.BAD][quality.BAD] - x) < 0.05 for table, x in zip(model.tables, rates))
+    assert quality.fit({}, PRIORS).prior == 0.8
+
+
+def test_every_kind_of_junk_goes_at_every_size():
+    clean = tuple(quality.GOOD if rule.good_to is not None or rule.good_from is not None else quality.ABSTAIN for rule in quality.RULES)
+    single = [tuple(quality.BAD if i == r else v for i, v in enumerate(clean)) for r in range(len(clean))]
+    silent = tuple(quality.ABSTAIN if rule.name == "sentences" else v for rule, v in zip(quality.RULES, clean))
+    for times in (0.1, 1, 10, 1000):
+        patterns = Counter({clean: round(9000 * times), silent: round(300 * times), **{v: round(100 * times) for v in single}})
+        for a, b in zip(range(8), range(1, 8)):
+            patterns[tuple(quality.BAD if i in (a, b) else v for i, v in enumerate(clean))] += round(50 * times)
+        model = quality.fit(dict(patterns), PRIORS)
+        assert all((model.posterior(v) >= 0.5) == (quality.BAD not in v) for v in patterns)
+
+
+def test_planted_junk_of_every_kind(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("bar", "len", "tor", "mis", "gal") for b in ("en", "us", "ick", "ot", "ara", "")]
+    prose = lambda n=60: " ".join(rng.choice(words) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    junk = [
+        lambda: " ".join(rng.choice(words) + rng.choice((" #", " $$", "")) for _ in range(60)) + ".", lambda: prose().upper(), lambda: prose().replace(" ", "! ", 40),
+        lambda: " ".join(str(rng.randrange(10**6)) if rng.random() < 0.5 else rng.choice(words) for _ in range(60)) + ".",
+        lambda: prose(60) + " " + (line := prose(8)) + " " + line, lambda: "\n".join([prose(40), *[rng.choice(words)] * 9]), lambda: " ".join(prose(8).replace(" ", "") for _ in range(30)),
+        lambda: ". ".join(rng.choice(words) for _ in range(60))]
+    texts = [(i, prose()) for i in range(2000)] + [(10_000 + 100 * k + i, make()) for k, make in enumerate(junk) for i in range(25)]
+    found = cases.rows_of(quality.judge(spark.createDataFrame(texts, "doc_id int, text string"))[0])
+    assert all(found[i]["kept"] for i in range(2000))
+    for k in range(len(junk)):
+        assert sum(found[10_000 + 100 * k + i]["kept"] for i in range(25)) <= 2, quality.RULES[k].name
+
+
+def test_columns_named_like_results_are_replaced(spark):
+    df = spark.createDataFrame([(1, "one two", 7, 8)], "doc_id int, text string, n_words int, KEPT int")
+    assert quality.judge(df)[0].columns == ["doc_id", "text", *quality.COUNTS, "base_failed", "quality", "kept"]
+    assert quality.kept_rows(df).columns == df.columns
 
 
 def test_odd_rows(spark):
