@@ -80,21 +80,30 @@ def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str =
     shift = start_of(F.col("p"), F.col("n")) - F.col("item_at")
     hits = runs.join(sides, "seed").select("doc_id", "text_key", "item_key", shift.alias("shift")).distinct()
     hits = stored(hits, "seed_hits")
-    same_doc = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_text"))
+    # Only texts with a hit go on; they are few, and Spark broadcasts their keys while the stored table is small.
+    near = d.withColumn("text_key", F.xxhash64("text")).join(
+        hits.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_text")).distinct(),
+        F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_text")), "left_semi")
+    # Rows of equal id and text are one. Stored, so that the words are cut once per text and not once per diagonal.
+    near = stored(near.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", word_hashes(F.col("text")).alias("dh")), "near_texts")
     lined = hits.withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_text"}).join(t, "item_key")
-    found = d.withColumn("text_key", F.xxhash64("text")).join(lined, same_doc).select("doc_id", "item_id", "shift", "ih", word_hashes(F.col("text")).alias("dh"))
-    # Stored, so that the words are cut once per row and not once per compared position.
-    found = stored(found, "seed_diagonals")
+    same_doc = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_text"))
     start = F.greatest(F.lit(0), -F.col("shift"))
     stop = F.least(F.size("ih"), F.size("dh") - F.col("shift"))
-    found = found.select("doc_id", "item_id", "dh", "ih", "shift", start.alias("start"), stop.alias("stop")).filter(F.col("stop") - F.col("start") >= STRETCH)
-    equal = F.transform(F.sequence("start", F.col("stop") - 1), lambda i: (F.get("ih", i) == F.get("dh", i + F.col("shift"))).cast("int"))
-    found = found.select("doc_id", "item_id", equal.alias("equal"))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - (STRETCH - 1)),
-                                   lambda i: F.aggregate(F.slice("equal", i, STRETCH), F.lit(0), lambda a, x: a + x)))
-    found = found.filter(best >= STRETCH - REPLACED)
-    matched = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
-    top = F.max(F.struct(matched.alias("m"), F.size("equal").alias("n"))).alias("top")
+    # Of the text only what lies beside the item goes along with a diagonal.
+    found = near.join(lined, same_doc).select("doc_id", "item_id", "ih", start.alias("start"), stop.alias("stop"),
+                                              F.slice("dh", start + F.col("shift") + 1, F.greatest(stop - start, F.lit(0))).alias("dh"))
+    found = stored(found.filter(F.col("stop") - F.col("start") >= STRETCH), "seed_diagonals")
+    equal = F.zip_with(F.slice("ih", F.col("start") + 1, F.col("stop") - F.col("start")), "dh", lambda x, y: (x == y).cast("int"))
+    # A stretch with so many replaced words lies between two other places: the ends, or words that differ as well.
+    differ = lambda e: F.concat(F.array(F.lit(-1)), F.filter(F.transform(e, lambda x, i: F.when(x == 0, i)), lambda i: i.isNotNull()), F.array(F.size(e)))
+    seen = lambda e, d, i: F.coalesce(F.get(d, i + REPLACED + 1), F.size(e)) - F.get(d, i) > STRETCH
+    local = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    # One-element arrays stand in for local variables: named in a filter, the comparison would be done again for every word.
+    judged = local(equal, lambda e: local(differ(e), lambda d: F.struct(
+        F.exists(F.sequence(F.lit(0), F.size(d) - 2), lambda i: seen(e, d, i)).alias("met"), (F.size(e) - F.size(d) + 2).alias("m"), F.size(e).alias("n"))))
+    found = stored(found.select("doc_id", "item_id", judged.alias("j")), "compared").filter("j.met")
+    top = F.max(F.struct("j.m", "j.n")).alias("top")
     return found.groupBy("doc_id", "item_id").agg(top).select(
         "doc_id", "item_id", F.col("top.m").cast("long").alias("matched_words"), F.col("top.n").cast("long").alias("compared_words"))
 
@@ -105,5 +114,5 @@ def clean_rows(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[col_of(docs, c).alias(n) for c, n in names.items()])
     bad = overlaps(renamed, tests, names[id], names[text]).select(F.col("doc_id").alias(found)).distinct()
-    kept = renamed.join(bad.hint("merge"), F.col(names[id]).eqNullSafe(F.col(found)), "left_anti")
+    kept = renamed.join(stored(bad, "unclean"), F.col(names[id]).eqNullSafe(F.col(found)), "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -28,6 +28,9 @@ def test_run_is_registered(spark):
 
 def test_odd_rows(spark):
     for df in (cases.odd(spark), cases.empty(spark)):
-        for name, stage in corpus_pipeline.STAGES[:4]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, cases.SF)
-            assert out.columns == df.columns and out.count() <= df.count(), name
+            if name != "best_fit_packing":
+                assert out.columns == df.columns and out.count() <= df.count(), name
+            else:
+                assert out.filter("piece = 0").count() == df.count()
