@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -56,8 +57,8 @@ WIDE_GUARD = {"email": rf"@|[\[({{<]\x20?(?:at|AT)\x20?[\])}}>]|\x20(?:at|AT)\x2
 CONTEXT = {"email": r"(?i)e-?mail|contact|write|address|reach", "ip": r"(?i)\bip\b|host|server|addr|from", "card": r"(?i)card|visa|credit|pay|account",
            "phone": r"(?i)phone|tel|call|mobile|fax|dial"}
 
-#: Rows the trees are trained and calibrated on at most, and their number and depth.
-TRAINING_ROWS, TREES, DEPTH = 20_000, 10, 4
+#: Number and depth of the trees.
+TREES, DEPTH = 10, 4
 #: Precision that a threshold must reach on the calibration rows of its kind.
 PRECISION = 0.98
 
@@ -154,7 +155,7 @@ def described(spans: DataFrame) -> DataFrame:
         **{f"is_{kind}": flag(F.col("kind") == no) for no, kind in enumerate(KINDS)},
         "length": F.length(m).cast("double"), "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "groups": count("[0-9]+"), "dots": count(r"[.]|(?i)\bdot\b"),
         "at": flag(m.rlike(r"@|(?i)\bat\b")), "plus": flag(m.startswith("+")), "brackets": count(r"[()\[\]{}<>]"), "odd_separators": count("[_/,]"),
-        "luhn": flag((F.length(digits_of(m)) >= 12) & luhn(m)), "largest": F.coalesce(F.array_max(numbers), F.lit(0.0)),
+        "luhn": flag((F.length(digits_of(m)) >= 12) & luhn(m)), "largest": F.least(F.coalesce(F.array_max(numbers), F.lit(0.0)), F.lit(1000.0)),
         "longest_group": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x).cast("double"))), F.lit(0.0)),
         "glued_left": flag(before.rlike(r"[A-Za-z0-9]\z")), "glued_right": flag(after.rlike(r"\A[A-Za-z0-9]")),
         "said": flag(reduce(lambda a, b: a | b, [(F.col("kind") == no) & before.rlike(CONTEXT[kind]) for no, kind in enumerate(KINDS)])),
@@ -176,19 +177,20 @@ def examples(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_e", F.explode(forms)).select("kind", F.col("_e.match").alias("match"), "before", "after", F.col("_e.label").alias("label"), F.xxhash64("match").alias("origin"))
 
 
-def fit(spans: DataFrame, rows: int = TRAINING_ROWS) -> Judge:
-    """Trees from at most ``rows`` examples, those of lowest hash; a fifth of them only calibrates.
+def fit(spans: DataFrame) -> Judge:
+    """Trees from the examples of all distinct spans; a fifth of them, by hash, only calibrates.
 
     ``spans`` are base spans with ``kind``, ``match``, ``before``, ``after``.
     A kind whose precision reaches ``PRECISION`` at no threshold adds nothing.
     """
     distinct = spans.groupBy("kind", "match").agg(F.min("before").alias("before"), F.min("after").alias("after"))
-    sample = stored(examples(distinct.orderBy(F.xxhash64("match"), "match", "kind").limit(rows // 4)), "pii_examples")
-    table = described(sample).coalesce(2)
+    table = stored(described(examples(distinct)), "pii_examples")
     train, hold = table.filter(F.pmod("origin", F.lit(5)) != 0), table.filter(F.pmod("origin", F.lit(5)) == 0)
     if len(train.select("label").distinct().collect()) < 2 or not hold.take(1):
         return Judge(None, {})
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(train)
+    # Split points are proposed from the square of the bins in rows, at least 10,000: this many bins let all rows propose.
+    # Features have few distinct values, and no more bins than those are made.
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=max(32, isqrt(train.count()) + 1), seed=7).fit(train)
     scored = model.transform(hold).select("kind", "label", vector_to_array("probability")[1].alias("p"))
     steps = [0.5 + 0.05 * i for i in range(10)]
     sums = scored.groupBy("kind").agg(*[x for i, t in enumerate(steps) for x in (

@@ -4,6 +4,8 @@ import hashlib
 import re
 
 import cases
+import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import pii
 from spanloom.llm.queries import QUERIES
@@ -94,3 +96,22 @@ def test_very_long_texts_with_many_spans(spark):
     found = pii.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text").first()
     assert [(s["start"], s["kind"], s["end"]) for s in found["spans"]] == base(text)
     assert all(text[s["start"]:s["end"]] == s["match"] and text[max(0, s["start"] - 24):s["start"]].endswith(s["before"]) and text[s["end"]:].startswith(s["after"]) for s in found["candidates"])
+
+
+def test_trees_learn_from_all_spans(spark, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, train):
+        seen.update(rows=train.count(), bins=self.getMaxBins())
+        raise Stop
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", fit)
+    spans = spark.range(7000).select(F.lit(0).alias("kind"), F.concat(F.lit("u"), "id", F.lit("@h.org")).alias("match"), F.lit("").alias("before"), F.lit("").alias("after"))
+    with pytest.raises(Stop):
+        pii.fit(spans)
+    assert seen["rows"] == pii.examples(spans).filter(F.pmod("origin", F.lit(5)) != 0).count() > 20_000
+    # From this many bins on no row is left out where split points are proposed.
+    assert seen["bins"] ** 2 >= seen["rows"]
