@@ -30,6 +30,8 @@ from spanloom.llm.frames import col_of, stored
 from spanloom.llm.token_ids import encoder, groups
 
 CAPACITY = 2048
+#: Pieces and parts of pieces a worker keeps at most, about 50 MB: in the pipeline the workers share an executor with what earlier stages left.
+KEPT_PIECES, KEPT_PARTS = 200_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,7 @@ def pieces(df: DataFrame, id: str, text: str, tokenizer: str, end_id: int, capac
     small = _small(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        enc, seen = encoder(tokenizer, KEPT_PIECES, KEPT_PARTS), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for group in groups(texts):
@@ -140,7 +142,7 @@ def pieces(df: DataFrame, id: str, text: str, tokenizer: str, end_id: int, capac
 
 
 def _small(tokenizer: str, end_id: int) -> bool:
-    return max(end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16
+    return max(end_id, *encoder(tokenizer, KEPT_PIECES, KEPT_PARTS).tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16
 
 
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:

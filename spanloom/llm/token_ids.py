@@ -52,7 +52,8 @@ class _Numbers(dict):
 class Encoder:
     """Encodes texts with the tokenizer of a file, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_pieces: int = KEPT_PIECES, kept_parts: int = KEPT_PARTS):
+        self.kept_pieces, self.kept_parts = kept_pieces, kept_parts
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
@@ -91,7 +92,7 @@ class Encoder:
         for part in self._cut(piece):
             own = self.parts.get(part)
             if own is None:
-                if len(self.parts) >= KEPT_PARTS:
+                if len(self.parts) >= self.kept_parts:
                     self.parts.clear()
                 shown = part if part.isalnum() and part.isascii() else part.encode().decode("latin-1").translate(self.visible)
                 own = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
@@ -138,7 +139,7 @@ class Encoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other as unsigned 32-bit numbers, and how many each text has."""
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > self.kept_pieces:
             self._clear()
         at: list[int] = []
         counts, whole = [], {}
@@ -178,13 +179,14 @@ def groups(texts: Sequence[str | None], chars: int = 1 << 21) -> Iterator[slice]
         yield slice(start, len(texts))
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, one per process.
+def encoder(path: str, kept_pieces: int = KEPT_PIECES, kept_parts: int = KEPT_PARTS) -> Encoder:
+    """The encoder of a file, one per process and size of its memory.
 
     Functions travel to workers by value and would bring empty module globals
     along; the tokenizer library's module is the same for all tasks of a worker.
     """
     kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    key = path, kept_pieces, kept_parts
+    if key not in kept:
+        kept[key] = Encoder(*key)
+    return kept[key]

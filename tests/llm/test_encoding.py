@@ -5,8 +5,10 @@ import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanloom.llm import packing, repair
@@ -150,3 +152,22 @@ def test_sequences_and_odd_rows(spark):
     for r in rows:
         assert made[r["sequence_id"]][4 * r["offset"]:4 * (r["offset"] + r["length"])] == bytes(r["ids"])
     assert packing.pack(cases.empty(spark), BYTES).count() == 0
+
+
+def test_small_memory_gives_the_same_ids():
+    texts = [" ".join(f"w{i * 31 + j} common{j}" for j in range(40)) for i in range(30)]
+    small, plain = Encoder(BYTES, kept_pieces=100, kept_parts=50), Encoder(BYTES)
+    for text in texts:
+        assert small.encode(text).tolist() == plain.encode(text).tolist()
+        assert len(small.known) <= 200 and len(small.parts) <= 50
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    texts = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [sum(map(len, batch.column(0).to_pylist()))]})
+
+    found = [r["n"] for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) == 64 << 20 and max(found) <= 8 << 20
