@@ -30,8 +30,8 @@ from spanloom.llm.frames import col_of, stored
 from spanloom.llm.token_ids import encoder, groups
 
 CAPACITY = 2048
-#: Pieces and parts of pieces a worker keeps at most, about 50 MB: in the pipeline the workers share an executor with what earlier stages left.
-KEPT_PIECES, KEPT_PARTS = 200_000, 50_000
+#: Pieces and parts of pieces a worker keeps at most, about 120 MB: in the pipeline the workers share an executor with what earlier stages left.
+KEPT_PIECES, KEPT_PARTS = 400_000, 200_000
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,7 @@ import numpy as np
 import regex
 import tokenizers
 
-#: Pieces, and parts of pieces, that are kept at most, about 200 bytes each; then the memory starts anew.
+#: Pieces, and parts of pieces, that are kept at most, about 200 bytes each; then pieces that came once are forgotten, and all parts.
 KEPT_PIECES, KEPT_PARTS = 800_000, 200_000
 #: Latin letters in their composed forms, digits, marks and single blanks: no normalisation but lower case applies.
 _PLAIN = re.compile("[\n \x21-\x7e¡-¬®-ÿ]*")
@@ -70,7 +70,31 @@ class Encoder:
     def _clear(self) -> None:
         self.known = _Numbers()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.begin, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keep the pieces that came again since the last time, unless they are most of them; then the memory starts anew."""
+        names, again = list(self.known), np.flatnonzero(self.uses[:len(self.known)] > 1)
+        if 2 * len(again) > self.kept_pieces:
+            self._clear()
+            return
+        begin, sizes = self.begin[again], self.size[again]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self._clear()
+        self.known.update(zip(map(names.__getitem__, again.tolist()), range(len(again))))
+        self._add(ids, sizes, 0)
+
+    def _add(self, ids: np.ndarray | list[int], sizes: np.ndarray, first: int) -> None:
+        """Append the ids of the pieces numbered from ``first``."""
+        while len(self.known) > len(self.begin):
+            self.begin, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.uses))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, self.flat))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.size[first:len(self.known)] = sizes
+        self.begin[first:len(self.known)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     def _cut(self, piece: str) -> tuple[str, ...] | list[str]:
         """The parts of a piece, as the file's pre-tokenizer cuts it; letters with a mark behind them, most pieces, need no pattern."""
@@ -109,15 +133,7 @@ class Encoder:
             before = len(ids)
             ids += self.ids_of(piece)
             sizes[i] = len(ids) - before
-        first = len(self.known) - len(new)
-        while len(self.known) > len(self.begin):
-            self.begin, self.size = np.concatenate((self.begin, self.begin)), np.concatenate((self.size, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, self.flat))
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.size[first:len(self.known)] = sizes
-        self.begin[first:len(self.known)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
+        self._add(ids, sizes, len(self.known) - len(new))
         new.clear()
 
     def _pieces(self, text: str) -> list[str] | None:
@@ -140,7 +156,7 @@ class Encoder:
     def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other as unsigned 32-bit numbers, and how many each text has."""
         if len(self.known) > self.kept_pieces:
-            self._clear()
+            self._forget()
         at: list[int] = []
         counts, whole = [], {}
         for i, text in enumerate(texts):
@@ -153,6 +169,7 @@ class Encoder:
             counts.append(len(at) - before)
         self._learn()
         at, counts = np.array(at, np.int64), np.array(counts, np.int64)
+        self.uses[:len(self.known)] += np.bincount(at, minlength=len(self.known))
         begin, sizes = self.begin[at], self.size[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
