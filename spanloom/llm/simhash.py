@@ -17,7 +17,7 @@ is a cell of its own in some other task; cells return the edges of a spanning
 forest, never all their pairs. Nothing is dropped: all chunk pairs are cells.
 
 Searches by similarity (``one_of_each``) use the bits only to discard pairs
-and decide the rest by their shingle sets.
+of a point and the smallest of its block; the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SEED = 42
 #: Fingerprints of one block that meet in one cell, from each of its two chunks.
 CHUNK = 512
 PIVOTS = 12
+#: Members of sets, 8 bytes each, that meet in one cell from each of its two chunks; a larger set is not cut.
+CELL_MEMBERS = 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -247,11 +249,12 @@ def _similar_edges(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     ``points`` has ``node``, ``size`` (members of its set) and ``parts``;
     ``sets_of`` gives the sets of a table of nodes. First every point is
-    compared with the smallest of its block, so that a large group of copies
-    grows together by few comparisons; then all pairs that are still apart
-    are. Bits and sizes discard, the sets decide.
+    compared with the smallest of its block (bits and sizes discard, the sets
+    decide), so that a large group of copies grows together by few
+    comparisons. Blocks that still hold points that are apart are cut into
+    cells, whose sets meet and return the edges of a forest, not their pairs.
     """
-    radius, pivots = radius_of(similarity), _pivots(len(parts))
+    radius = radius_of(similarity)
     point = F.struct("node", "size", *parts)
     keyed = points.select("node", "size", *parts, F.explode(F.array(*keys)).alias("key"))
     blocks = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(point).alias("least")).filter(F.col("count") > 1)
@@ -260,20 +263,81 @@ def _similar_edges(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"least.{p}"))) for p in parts), F.lit(0))
     fit = F.least("size", "least.size") >= similarity * F.greatest("size", "least.size") - 1e-6
     stars = blocks.filter((F.col("node") != F.col("least.node")) & (apart <= radius) & fit).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    stars = stored(stars.distinct(), "star_pairs")
-    joined = stored(_similar(stars, sets, similarity), "star_edges")
+    joined = stored(_similar(stored(stars.distinct(), "star_pairs"), sets, similarity), "star_edges")
     roots = components(joined)
-    labelled = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = blocks.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    still = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.sum("size").alias("total"))
+    n = F.ceil(F.greatest(F.col("count") / chunk, F.col("total") / CELL_MEMBERS)).cast("int")
+    crowded = still.filter(F.col("low") != F.col("high")).select("key", F.greatest(n, F.lit(1)).alias("n"))
+    dealt = labelled.join(crowded, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", "root").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        of = None
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if cell != of and held:
+                    yield _edges_of_sets(held, similarity)
+                    held = []
+                of = cell
+                held.append(tuple(row))
+        if held:
+            yield _edges_of_sets(held, similarity)
+
+    rest = cells.select("cell", "node", "root", "members").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
+    return joined.union(stored(rest.distinct(), "cell_edges"))
+
 
-    def open_pairs(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = near_pairs(rows[:, 0], rows[:, 4:].astype(np.uint64), pivots, radius)
-        size, root = rows[:, 2], rows[:, 3]
-        keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
-        x, y = rows[a[keep], 1], rows[b[keep], 1]
-        return pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def _edges_of_sets(rows: list[tuple[int, int, bytes]], similarity: float) -> pa.RecordBatch:
+    """Edges of similar pairs of the rows (node, root, members) that join what has different roots.
 
-    rest = _in_cells(labelled, ["node", "size", "root", *parts], chunk, open_pairs).distinct().join(stars, ["a", "b"], "left_anti")
-    return joined.union(_similar(stored(rest, "open_pairs"), sets, similarity))
+    Two sets this similar share one of their rarest members, so many of them
+    that the others are too few (prefix filter); only such pairs are compared.
+    """
+    sets = [np.frombuffer(x, np.uint64) for _, _, x in rows]
+    a, b = _maybe_similar(sets, similarity)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    left, right = [], []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = top(rows[i][1]), top(rows[j][1])
+        if x != y and jaccard(rows[i][2], rows[j][2]) >= similarity:
+            up[max(x, y)] = min(x, y)
+            left.append(min(rows[i][0], rows[j][0]))
+            right.append(max(rows[i][0], rows[j][0]))
+    return pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _maybe_similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of sets that can have this Jaccard similarity, by sizes and rarest members."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    _, member, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    order = np.lexsort((member, uses[member], owner))
+    # As many of the rarest that the others are fewer than a similar set has to share.
+    first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size)
+    rare = order[place < np.repeat(first, size)]
+    rare = rare[uses[member[rare]] > 1]
+    rare = rare[np.lexsort((owner[rare], member[rare]))]
+    of, who = member[rare], owner[rare]
+    met = np.zeros((m, m), bool)
+    at, gap = np.arange(len(of)), 1
+    while len(at := at[at + gap < len(of)]) and len(at := at[of[at] == of[at + gap]]):
+        met[who[at], who[at + gap]] = True
+        gap += 1
+    a, b = np.nonzero(met)
+    fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+    return a[fit], b[fit]
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -124,3 +124,36 @@ def test_pairs_that_are_apart_from_the_smallest_of_their_block_link(spark):
     edges = simhash._similar_edges(points, lambda nodes: table.join(nodes, "node", "left_semi"), [F.col("key")], ["fp"], 0.8, chunk=3)
     found = {r["node"]: r["root"] for r in components(edges).collect()}
     assert found == {n: n // 10 * 10 for n in sets}
+
+
+def test_rarest_members_find_every_similar_pair_and_few_others():
+    rng = random.Random(8)
+    base = rng.sample(range(1 << 60), 200)
+    sets = [sorted({*rng.sample(base, rng.randint(160, 200)), *(rng.getrandbits(60) for _ in range(rng.randint(0, 60)))}) for _ in range(150)]
+    packed = [np.array(x, np.uint64) for x in sets]
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if simhash.jaccard(packed[i].tobytes(), packed[j].tobytes()) >= 0.8}
+    a, b = simhash._maybe_similar(packed, 0.8)
+    assert 20 < len(want) < 3_000 and want <= set(zip(a.tolist(), b.tolist()))
+    # Alike, but not enough: the pairs that are looked at do not grow with the square of the group.
+    alike = [np.array(sorted({*rng.sample(base, 140), *(rng.getrandbits(60) for _ in range(60))}), np.uint64) for _ in range(150)]
+    assert len(simhash._maybe_similar(alike, 0.8)[0]) < 150
+
+
+def test_a_group_that_is_alike_but_not_similar_makes_no_table_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = rng.sample(range(1 << 60), 100)
+    sets = {i: sorted({*rng.sample(base, 75), *(rng.getrandbits(60) for _ in range(25))}) for i in range(60)}
+    sets[60], sets[61] = sorted({*sets[30][:-4], 1, 2, 3}), sorted({*sets[31][:-4], 1, 2, 3})
+    points = spark.createDataFrame([(n, len(m), 0, 1) for n, m in sets.items()], "node bigint, size bigint, fp bigint, key bigint")
+    table = spark.createDataFrame([(n, np.array(m, np.uint64).tobytes()) for n, m in sets.items()], "node bigint, members binary")
+    written, keep = {}, simhash.stored
+
+    def counted(df, name):
+        found = keep(df, name)
+        written[name] = found.count()
+        return found
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    edges = simhash._similar_edges(points, lambda nodes: table.join(nodes, "node", "left_semi"), [F.col("key")], ["fp"], 0.8, chunk=16)
+    assert {(r["a"], r["b"]) for r in edges.distinct().collect()} == {(30, 60), (31, 61)}
+    assert max(written.values()) <= len(sets)
