@@ -83,3 +83,23 @@ def test_odd_rows(spark):
     assert tree.score(cases.empty(spark)).count() == 0
     only = tree.score(spark.createDataFrame([(2, "a b")], "doc_id int, text string"), held_out=None).first()
     assert only["train_tokens"] in (0, 3)
+
+
+def test_a_context_is_kept_however_large_the_corpus(spark):
+    rare = np.unique(tree.codes([b"qzx " + bytes([tree.END])] * 8), return_counts=True)
+    common = tree.codes([tree.spelled([b"hello", b"world"])])
+    rows = [(int(c), int(n)) for c, n in zip(*rare)] + [(int(c), 10**9) for c in common]
+    grown = tree.grow(spark.createDataFrame(rows, "code bigint, n bigint"))
+    assert grown.log10(tree.codes([b"qzx " + bytes([tree.END])])[1:2])[0] > math.log10(0.5)
+
+
+def test_a_tree_in_pieces_scores_like_a_whole_one(spark, monkeypatch):
+    docs = spark.createDataFrame(cases.documents()[:60] + [(None, None), (7, "")], "doc_id bigint, text string")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+    whole = sorted(tree.score(docs).collect(), key=key)
+    monkeypatch.setattr(tree, "PIECE", 3_000)
+    grown = tree.states(tree.counts(docs.select("text")).filter("code is not null").select("code", "n"))
+    assert 3 <= len(tree.pieces(grown, tree.PIECE)) < 40
+    cut = sorted(tree.score(docs).collect(), key=key)
+    assert [r[:6] for r in cut] == [r[:6] for r in whole] and len(whole) == 62
+    assert np.allclose([r["score"] for r in cut], [r["score"] for r in whole], rtol=1e-9)
