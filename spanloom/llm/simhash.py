@@ -17,7 +17,9 @@ is a cell of its own in some other task; cells return the edges of a spanning
 forest, never all their pairs. Nothing is dropped: all chunk pairs are cells.
 
 Searches by similarity (``one_of_each``) use the bits only to discard pairs
-of a point and the smallest of its block; the shingle sets decide.
+of a point and the smallest of its block; the shingle sets decide. Bands find
+practically all pairs at little cost; those they miss are found by a prefix
+filter over all sets, so the result is that of all pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
@@ -41,6 +43,12 @@ CHUNK = 512
 PIVOTS = 12
 #: Members of sets, 8 bytes each, that meet in one cell from each of its two chunks; a larger set is not cut.
 CELL_MEMBERS = 1 << 20
+#: Classes of shingle hashes whose texts are counted, and slices in which the counts are added up.
+LOAD_BITS, LOAD_SLICES = 18, 16
+#: Points that share one rare shingle and are paired at once; more meet in cells.
+CROWD = 128
+#: Texts a task remembers, so that copies are not taken apart again.
+SEEN = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -211,7 +219,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 def _named(points: DataFrame, edges: DataFrame, first: str) -> DataFrame:
     """``node`` and the smallest ``first`` of its component."""
-    roots = components(edges)
+    return _named_by(points, components(edges), first)
+
+
+def _named_by(points: DataFrame, roots: DataFrame, first: str) -> DataFrame:
     joined = points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min(first).alias("_best"))
     return joined.join(best, "root").select("node", F.col("_best").alias(first))
@@ -269,7 +280,13 @@ def _similar_edges(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     still = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.sum("size").alias("total"))
     n = F.ceil(F.greatest(F.col("count") / chunk, F.col("total") / CELL_MEMBERS)).cast("int")
     crowded = still.filter(F.col("low") != F.col("high")).select("key", F.greatest(n, F.lit(1)).alias("n"))
-    dealt = labelled.join(crowded, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    rest = _in_set_cells(labelled.join(crowded, "key"), sets, similarity)
+    return joined.union(stored(rest.distinct(), "cell_edges"))
+
+
+def _in_set_cells(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges of the blocks ``key`` of ``crowded`` (``node``, ``root``), each cut into ``n`` chunks whose ``sets`` meet in pairs."""
+    dealt = crowded.withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", "root").join(sets, "node")
 
@@ -286,8 +303,7 @@ def _similar_edges(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         if held:
             yield _edges_of_sets(held, similarity)
 
-    rest = cells.select("cell", "node", "root", "members").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
-    return joined.union(stored(rest.distinct(), "cell_edges"))
+    return cells.select("cell", "node", "root", "members").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def _edges_of_sets(rows: list[tuple[int, int, bytes]], similarity: float) -> pa.RecordBatch:
@@ -340,13 +356,93 @@ def _maybe_similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     return a[fit], b[fit]
 
 
+def _kept_of(size: Column, similarity: float) -> Column:
+    """Members that a similar set has to share at least."""
+    return F.ceil(size * similarity - 1e-9)
+
+
+def _loads(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts hold a shingle of each class of hashes: 2^LOAD_BITS numbers, whatever the table."""
+    width = (1 << LOAD_BITS) // LOAD_SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(1 << LOAD_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(load, _class(np.unique(shingle_hashes(text, shingle))), 1)
+        if load.any():
+            yield pa.record_batch({"slice": np.arange(LOAD_SLICES, dtype=np.int32), "load": pa.array([load[i * width:(i + 1) * width].tobytes() for i in range(LOAD_SLICES)], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for no, load in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[no] = held.get(no, 0) + np.frombuffer(load, np.int64)
+        if held:
+            yield pa.record_batch({"slice": pa.array(list(held), pa.int32()), "load": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+
+    schema = "slice int, load binary"
+    out = np.zeros((LOAD_SLICES, width), np.int64)
+    for row in texts.mapInArrow(count, schema).repartition(LOAD_SLICES, "slice").mapInArrow(add, schema).collect():
+        out[row["slice"]] += np.frombuffer(row["load"], np.int64)
+    return out.reshape(-1)
+
+
+def _class(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - LOAD_BITS)).astype(np.int64)
+
+
+def first_members(hashes: np.ndarray, load: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the distinct members, those of the rarest classes first, that the others are fewer than a similar set has to share.
+
+    All sets take them in one order, so two similar ones have at least one in common (prefix filter).
+    """
+    if not len(hashes):
+        return hashes
+    count = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, load[_class(hashes)]))[:count]]
+
+
+def _missed_edges(members: DataFrame, points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], roots: DataFrame, similarity: float, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``a``, ``b`` that connect what all similar pairs of different ``roots`` connect.
+
+    ``members`` has ``node`` and a ``key`` for each of its first members,
+    ``points`` ``node`` and ``size``. Keys that only copies of one root share
+    go; the points of the others make pairs. A similar pair has so many keys
+    in common that few others remain to be compared. Keys of more than
+    ``crowd`` points are cut into cells, whose sets meet, instead.
+    """
+    own = Window.partitionBy("key")
+    shared = members.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).filter("low <> high").select("key", "node")
+    shared = stored(shared.distinct(), "shared_members")
+    labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count")).filter("low <> high")
+    still = labelled.join(still.select("key", "count"), "key").join(points.select("node", "size"), "node")
+    still = stored(still.select("key", "count", "node", "root", "size"), "open_members")
+    few = still.filter(F.col("count") <= crowd).select("key", "node", "root", "size")
+    left, right = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size")]) for side in "ab")
+    fit = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    met = left.join(right, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fit).groupBy("node_a", "node_b").agg(
+        F.count("*").alias("common"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    # What is not among the first members of the set that ends first in the order can be common, too.
+    rest = F.greatest(_kept_of(F.col("size_a"), similarity), _kept_of(F.col("size_b"), similarity)) - 1
+    enough = F.col("common") + rest >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = stored(met.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near_pairs")
+    crowded = still.filter(F.col("count") > crowd)
+    total = crowded.groupBy("key").agg(F.greatest(F.ceil(F.greatest(F.max("count") / chunk, F.sum("size") / CELL_MEMBERS)).cast("int"), F.lit(1)).alias("n"))
+    met_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
+    sets = stored(sets_of(met_nodes), "near_sets")
+    return stored(_similar(pairs, sets, similarity).union(_in_set_cells(crowded.join(total, "key"), sets, similarity)).distinct(), "missed_edges")
+
+
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies: of every group linked by similar texts, the row of smallest id.
 
     Texts link when their sets of ``shingle``-word shingles have at least
     this Jaccard similarity. Bands of minimal shingle hashes propose pairs,
     256-bit fingerprints discard those that are far apart, and the sets
-    decide. All texts without words are one group. Null ids come last; of
+    decide; then texts that are still apart but share one of their rarest
+    shingles are compared, so that no similar pair is left out. All texts without words are one group. Null ids come last; of
     equal ids (repeated rows) one row stays.
     """
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
@@ -367,5 +463,25 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
         return table.select("_row", F.col(names[text]).alias("_t")).join(rows, "_row").select("node", members("_t").alias("members"))
 
     edges = _similar_edges(shown, sets_of, keys, parts, similarity)
-    best = _named(points.select("node", "rank"), edges, "rank").select(F.col("rank.row").alias("_row")).distinct()
+    roots = components(edges)
+    load = df.sparkSession.sparkContext.broadcast(_loads(table.select(names[text]), shingle))
+
+    @F.pandas_udf("array<bigint>")
+    def firsts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        seen: set[int] = set()
+        for nodes, texts in batches:
+            out = []
+            for n, t in zip(nodes, texts):
+                # Copies have the same members.
+                out.append(np.empty(0, np.int64) if n in seen else first_members(np.unique(shingle_hashes(t, shingle)), load.value, similarity).view(np.int64))
+                seen.add(n)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pd.Series(out)
+
+    members_first = table.select(node.alias("node"), F.explode(firsts(node, F.col(names[text]))).alias("key"))
+    missed = _missed_edges(members_first, points.select("node", size.alias("size")), sets_of, roots, similarity)
+    if not missed.isEmpty():
+        roots = components(edges.union(missed))
+    best = _named_by(points.select("node", "rank"), roots, "rank").select(F.col("rank.row").alias("_row")).distinct()
     return table.join(best.hint("merge"), "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])

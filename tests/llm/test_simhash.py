@@ -157,3 +157,49 @@ def test_a_group_that_is_alike_but_not_similar_makes_no_table_of_pairs(spark, mo
     edges = simhash._similar_edges(points, lambda nodes: table.join(nodes, "node", "left_semi"), [F.col("key")], ["fp"], 0.8, chunk=16)
     assert {(r["a"], r["b"]) for r in edges.distinct().collect()} == {(30, 60), (31, 61)}
     assert max(written.values()) <= len(sets)
+
+
+def similar_groups(texts, similarity=0.8):
+    sets = {i: {tuple(t[k:k + 5]) for k in range(max(1, len(t) - 4))} for i, t in texts.items()}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_pairs_without_a_common_band_link(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [f"u{i}" for i in range(40_000)]
+    texts = {}
+    for g in range(12):
+        base = rng.choices(words, k=120)
+        for i in range(3):
+            other = list(base)
+            for at in rng.sample(range(5, 115, 6), i + g % 3):
+                other[at] = f"own{g}x{i}x{at}"
+            texts[10 * g + i] = other
+    want = {i for i, r in similar_groups(texts).items() if i == r}
+    assert 12 < len(want) < 36
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    # Bands of so many hashes that no two different texts share one.
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", 400)
+    assert {r["doc_id"] for r in simhash.one_of_each(rows).collect()} == want
+    # Every key a crowd.
+    monkeypatch.setattr(simhash._missed_edges, "__defaults__", (1, 2))
+    assert {r["doc_id"] for r in simhash.one_of_each(rows).collect()} == want
+
+
+def test_similar_sets_share_one_of_their_first_members():
+    rng = np.random.default_rng(4)
+    load = rng.integers(0, 50, 1 << simhash.LOAD_BITS)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64)
+        other = np.unique(np.concatenate((base[rng.integers(0, 8):], rng.integers(0, 1 << 63, rng.integers(0, 8), dtype=np.uint64))))
+        a, b = np.unique(base), other
+        if simhash.jaccard(a.tobytes(), b.tobytes()) >= 0.8:
+            first = [simhash.first_members(x, load, 0.8) for x in (a, b)]
+            assert len(np.intersect1d(*first))
